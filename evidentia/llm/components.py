@@ -1,0 +1,42 @@
+"""Connected components by alternating star contractions, all on the executors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from evidentia.session import cut
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Hang every larger neighbour of a node on the least node around it."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Hang a node and its smaller neighbours on the least of them; edges come as u > v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    hung = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node that has an edge; component is the least node reachable.
+
+    Large-star and small-star steps alternate until the edges no longer change; the number of
+    rounds grows with the logarithm of the diameter. Minima are combined before each shuffle and
+    the joins stay plain equi-joins, so a hub of very many edges is split by adaptive execution.
+    Self-loops and nulls are ignored; no edges give no rows.
+    """
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
+    now = cut(now)
+    seen = None
+    while True:
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == seen or mark[0] == 0:
+            break
+        seen = mark
+        now = cut(_small_star(_large_star(now)))
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
