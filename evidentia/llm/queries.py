@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm.common import table
+from evidentia.llm.html_extract import extract_pages
 from evidentia.llm.packing import pack
+from evidentia.llm.pieces import piece_digests
 from evidentia.llm.sharding import shard_documents
 from evidentia.llm.token_counts import count_tokens
+from evidentia.llm.toxicity import score_table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +27,20 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op4_packing, op10_sharding)
+    f.__name__: f for f in (op1_toxicity, op3_token_counts, op4_packing, op8_pieces, op9_html_text, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {}
