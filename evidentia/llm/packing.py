@@ -68,13 +68,12 @@ def _cut(path: str, length: int, end_id: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             texts, ids = texts_of(batch.column("text")), batch.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc_id, data in zip(ids[at : at + 256], bpe.encode(texts[at : at + 256]), strict=True):
-                    data, row = data + end, row + 1
-                    for a in range(0, len(data), 4 * length):
-                        piece = memoryview(data)[a : a + 4 * length]
-                        for column, value in zip(out, (doc_id, a >> 2, len(piece) >> 2, zlib.crc32(piece), len(data) >> 2, part + row), strict=True):
-                            column.append(value)
+            for doc_id, text in zip(ids, texts, strict=True):
+                data, row = bpe.encode(text) + end, row + 1
+                for a in range(0, len(data), 4 * length):
+                    piece = memoryview(data)[a : a + 4 * length]
+                    for column, value in zip(out, (doc_id, a >> 2, len(piece) >> 2, zlib.crc32(piece), len(data) >> 2, part + row), strict=True):
+                        column.append(value)
             yield from emit(_PIECES, out)
 
     return run
