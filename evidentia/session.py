@@ -18,6 +18,8 @@ def ship(spark: SparkSession) -> None:
     The archive is served by the driver's own file server, so executors need no
     shared folder and no installation.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows may hold long texts
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
