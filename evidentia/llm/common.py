@@ -82,3 +82,40 @@ def keyed_documents(docs: DataFrame, *columns: str) -> DataFrame:
     The number comes from the input splits, so it is the same in every use within a plan.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, F.monotonically_increasing_id().alias("rid"))
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal integer keys, and where their runs start, from batches that are sorted by the keys.
+
+    Only the unfinished run at the end of a batch is held back, so a task holds one batch and one run.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        columns = [table.column(k).to_numpy() for k in keys]
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and all(held[0].column(k)[0].as_py() == batch.column(k)[batch.num_rows - 1].as_py() for k in keys):
+            held.append(batch)
+            continue
+        whole = pa.Table.from_batches([*held, batch])
+        first = starts(whole)
+        if len(first) > 1:
+            yield whole.slice(0, int(first[-1])), first[:-1]
+        held = whole.slice(int(first[-1])).combine_chunks().to_batches()
+    if held:
+        whole = pa.Table.from_batches(held)
+        yield whole, starts(whole)
+
+
+def sorted_runs(rows: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """The function over each partition's batches, with all rows of a key in one partition and sorted by the keys."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(function, schema)

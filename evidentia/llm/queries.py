@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evidentia.llm.common import table
 from evidentia.llm.embed_dedup import near_vectors
 from evidentia.llm.html_extract import extract_pages
+from evidentia.llm.minhash import near_documents
 from evidentia.llm.packing import pack
 from evidentia.llm.pieces import piece_digests
 from evidentia.llm.sharding import shard_documents
@@ -21,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_token_counts, op4_packing, op6_near_vectors, op7_top_k, op8_pieces, op9_html_text, op10_sharding)
+    f.__name__: f for f in (op1_toxicity, op2_near_documents, op3_token_counts, op4_packing, op6_near_vectors, op7_top_k, op8_pieces, op9_html_text, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {
