@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidentia.session import cut, ship, table  # noqa: F401  (used by the operators)
+from evidentia.session import checkpointing, cut, ship, table  # noqa: F401  (used by the operators)
 
 #: Multiplier of the polynomial hashes; odd, so that it is a unit modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -119,3 +120,13 @@ def sorted_runs(rows: DataFrame, keys: list[str], function, schema: str) -> Data
     """The function over each partition's batches, with all rows of a key in one partition and sorted by the keys."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(function, schema)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder, which cuts the lineage; columns are compressed, unlike a checkpoint's rows."""
+    spark = df.sparkSession
+    checkpointing(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -259,6 +259,18 @@ def near_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = found.join(classes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = classes.select("node", "class", "rep").join(found, "node", "left").join(least, "component", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
-    out = classed.select("doc_id", "class", "n_shingles").join(by_class, "class", "left")
+    out = classed.select("doc_id", "text_key", "class", "n_shingles").join(by_class, "class", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_key")
+
+
+def without_near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One document of each component, the one of the smallest id, with the columns that it had.
+
+    Rows without an id stay where no row with an id has their set; of rows with the same id and
+    text one stays.
+    """
+    found = near_documents(docs, percent).where("kept or component_id is null").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
+    keyed = docs.withColumns({"__key": F.xxhash64("text"), "__own": F.col("doc_id").cast("long")})
+    kept = keyed.join(found, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), "left_semi")
+    return kept.dropDuplicates(["__own", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,6 +13,7 @@ from evidentia.llm.minhash import near_documents
 from evidentia.llm.packing import pack
 from evidentia.llm.pieces import piece_digests
 from evidentia.llm.sharding import shard_documents
+from evidentia.llm.suffix_dedup import repeated_spans
 from evidentia.llm.token_counts import count_tokens
 from evidentia.llm.topk import top_k
 from evidentia.llm.toxicity import score_table
@@ -34,6 +35,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_near_documents, op3_token_counts, op4_packing, op6_near_vectors, op7_top_k, op8_pieces, op9_html_text, op10_sharding)
+    f.__name__: f for f in (op1_toxicity, op2_near_documents, op3_token_counts, op4_packing, op5_repeated_spans, op6_near_vectors, op7_top_k, op8_pieces, op9_html_text, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {
