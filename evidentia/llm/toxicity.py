@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -23,7 +24,7 @@ from evidentia.llm.common import emit, ship, texts_of
 #: Labelled documents of each class that the model is fitted on at most, taken by a hash of the id.
 SAMPLE = 4000
 #: Characters of sampled text of each class, so that the driver's share stays bounded.
-SAMPLE_CHARS = 12_000_000
+SAMPLE_CHARS = 8_000_000
 BUCKETS = 1 << 18
 BEGINNINGS = (2, 3, 4, 5, 6, 7)
 #: Documents that must hold a feature before it gets a weight.
@@ -43,7 +44,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
 class Features:
     """Feature buckets of words, with a bounded cache."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.cache: dict[str, tuple[int, ...]] = {}
         self.most = most
 
@@ -65,39 +66,47 @@ class ToxicityModel:
     bias: float
 
 
-def _arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature buckets, the sentence of each, and the document of each sentence."""
-    features, index, sentence, document = Features(), [], [], []
-    for d, text in enumerate(texts):
-        for part in _SENTENCE.findall(text):
-            found = set().union(*[features.of(w) for w in set(_WORD.findall(part.lower()))])
-            index.append(np.fromiter(found, np.int32, len(found)))
-            sentence.append(len(found))
-            document.append(d)
-    flat = np.concatenate(index) if index else np.zeros(0, np.int32)
-    return flat, np.repeat(np.arange(len(sentence)), sentence), np.array(document, np.int64)
-
-
-def _telling(document: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _telling(texts: list[str], y: np.ndarray, features: Features) -> np.ndarray:
     """Of each bucket: whether its share among toxic documents differs from that among others by LEAST_Z standard errors."""
-    ones = y.sum()
-    toxic, every = np.bincount(feature, y[document], BUCKETS), np.bincount(feature, minlength=BUCKETS)
+    toxic, every, ones = np.zeros(BUCKETS), np.zeros(BUCKETS), y.sum()
+    for text, label in zip(texts, y, strict=True):
+        found = set().union(*map(features.of, set(_WORD.findall(text.lower()))))
+        index = np.fromiter(found, np.int64, len(found))
+        every[index] += 1
+        toxic[index] += label
     share = every / len(y)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / (len(y) - ones)))
     return (every >= LEAST_DOCS) & (np.abs(toxic / ones - (every - toxic) / (len(y) - ones)) >= LEAST_Z * error)
 
 
+def _arrays(texts: list[str], kept: np.ndarray, features: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kept feature buckets, the sentence of each, and the document of each sentence."""
+    index, sentence, document = array("q"), array("q"), array("q")
+    held: dict[str, tuple[int, ...]] = {}
+    for d, text in enumerate(texts):
+        for part in _SENTENCE.findall(text):
+            found: set[int] = set()
+            for word in set(_WORD.findall(part.lower())):
+                if word not in held:
+                    held[word] = tuple(i for i in features.of(word) if kept[i])
+                found.update(held[word])
+            index.extend(found)
+            sentence.extend([len(document)] * len(found))
+            document.append(d)
+        if len(held) > features.most:
+            held.clear()
+    return np.array(index, np.int64), np.array(sentence, np.int64), np.array(document, np.int64)
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = 120, rate: float = 0.25, penalty: float = 2e-6) -> ToxicityModel:
     """Train through the noisy-or by full-batch Adam; few or one-sided labels give a constant model."""
     y = np.array(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
         share = 0.0 if len(y) == 0 else float(y[0])
         return ToxicityModel(np.zeros(BUCKETS), 12.0 if share else -12.0)
-    feature, sentence, document = _arrays(texts)
+    features = Features()
+    feature, sentence, document = _arrays(texts, _telling(texts, y, features), features)
     n_docs, n_sentences = len(texts), len(document)
-    pairs = np.unique(document[sentence] * np.int64(BUCKETS) + feature)
-    keep = _telling(pairs // BUCKETS, pairs % BUCKETS, y)[feature]
-    feature, sentence = feature[keep], sentence[keep]
     used, feature = np.unique(feature, return_inverse=True)
     w, bias = np.zeros(len(used)), -5.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -134,7 +143,7 @@ def sample(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2) -> tu
     for label in (0, 1):
         ids = known.where(F.col("toxic") == label).withColumn("o", order).orderBy("o", "doc_id").limit(SAMPLE)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-        taken = rows.join(ids, "doc_id").select("o", "text", F.length("text").alias("n")).orderBy("o", "text").limit(SAMPLE)
+        taken = rows.join(F.broadcast(ids), "doc_id").select("o", "text", F.length("text").alias("n")).orderBy("o", "text").limit(SAMPLE)
         room = SAMPLE_CHARS
         for row in taken.where(F.col("n") <= SAMPLE_CHARS // 8).toLocalIterator():
             if (room := room - row["n"]) < 0:
@@ -229,3 +238,19 @@ def score_table(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> D
     out = score_documents(docs, train(docs, labels))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows whose text scores under the threshold, with the columns that they had."""
+    spark = docs.sparkSession
+    ship(spark)
+    model = train(docs, labels)
+    held, key = spark.sparkContext.broadcast(model), zlib.crc32(model.weights.tobytes()) ^ hash(model.bias)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(key, held.value)
+        for batch in batches:
+            scores = [noisy_or(scorer.sentences(t)) for t in texts_of(batch.column("text"))]
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
