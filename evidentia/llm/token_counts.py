@@ -2,8 +2,8 @@
 
 Documents of a part of the input become one block. A block sends one row per distinct pre-token
 with its postings (document, frequency). All rows of a pre-token meet in one sorted run, where
-its pieces are counted once and joined to the postings; these go back to their blocks and are
-summed there.
+its pieces are counted once and joined to the postings; the products are summed by document
+and go back to their blocks.
 """
 
 from __future__ import annotations
@@ -21,8 +21,13 @@ from evidentia.llm.tokens import byte_bpe, token_file
 #: Bytes of text after which a block ends, documents that it holds at most, and pre-tokens after which it ends.
 BLOCK_BYTES, BLOCK_DOCS, BLOCK_WORDS = 32 << 20, 60_000, 8_000_000
 
+#: Postings that are summed at once.
+FLUSH = 4_000_000
+
 _ROWS = pa.schema([("block", pa.int64()), ("pretoken", pa.string()), ("postings", pa.binary())])
 _PAIR = np.dtype([("doc", "<u2"), ("freq", "<u2")])
+_SUM = np.dtype([("doc", "<u2"), ("tokens", "<u8")])
+_PARTIAL = pa.schema([("block", pa.int64()), ("head", pa.bool_()), ("sums", pa.binary())])
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("n_bytes", "<i8")])
 
 
@@ -90,33 +95,58 @@ def _blocks(path: str):
 
 
 def _joined(path: str):
-    """Give each row of a partition that is sorted by pre-token its piece count, counted once for all rows of a pre-token."""
+    """Piece counts of a partition that is sorted by pre-token, counted once for all rows of a pre-token, joined to the postings.
+
+    The products are summed by document before they leave, a bounded number of postings at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, int | None] = {}
+        known: dict[str | None, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            words = batch.column("pretoken").to_pylist()
+            words, blocks = batch.column("pretoken").to_pylist(), batch.column("block").to_numpy()
             new = [w for w in dict.fromkeys(words) if w is not None and w not in known]
             known.update(zip(new, byte_bpe(path).counts(new).tolist(), strict=True))
-            pieces = pa.array([None if w is None else known[w] for w in words], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pieces, batch.column("postings")], names=["block", "pieces", "postings"])
-            known = {words[-1]: known.get(words[-1])} if words else known
+            raw = batch.column("postings").to_pylist()
+            for i, w in enumerate(words):
+                if w is None:  # a block's head goes on as it is
+                    yield pa.RecordBatch.from_arrays([pa.array([blocks[i]]), pa.array([True]), pa.array([raw[i]], pa.binary())], schema=_PARTIAL)
+                    raw[i] = b""
+            sizes = np.array([len(x) >> 2 for x in raw])
+            pairs = np.frombuffer(b"".join(raw), _PAIR)
+            pieces = np.array([0 if w is None else known[w] for w in words], np.int64)
+            held.append((np.repeat(blocks, sizes), pairs["doc"], np.repeat(pieces, sizes) * pairs["freq"]))
+            if sum(len(h[0]) for h in held) >= FLUSH:
+                yield from _flush(held)
+                held = []
+            known = {words[-1]: known.get(words[-1], 0)} if words else known
+        if held:
+            yield from _flush(held)
 
     return run
 
 
+def _flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """One row for each block, with the sums of its documents."""
+    block, doc, tokens = (np.concatenate(c) for c in zip(*held, strict=True))
+    if not len(block):
+        return
+    numbers, code = np.unique(block, return_inverse=True)
+    keys, place = np.unique(code * 65536 + doc, return_inverse=True)
+    sums = np.empty(len(keys), _SUM)
+    sums["doc"], sums["tokens"] = keys & 0xFFFF, np.rint(np.bincount(place, tokens)).astype(np.uint64)
+    ends = np.searchsorted(keys >> 16, np.arange(len(numbers)), side="right")
+    parts = [sums[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([False] * len(parts)), pa.array(parts, pa.binary())], schema=_PARTIAL)
+
+
 def _sums(group: pa.Table) -> pa.Table:
-    """Counts of one block from its head and its postings with piece counts."""
-    pieces, rows = group.column("pieces").to_numpy(zero_copy_only=False), group.column("postings")
-    raw = rows.to_pylist()
-    head = next(i for i, x in enumerate(group.column("pieces").is_null().to_pylist()) if x)
-    docs = np.frombuffer(raw[head], _DOC)
-    raw[head] = b""
-    pairs = np.frombuffer(b"".join(raw), _PAIR)
-    weights = np.repeat(np.nan_to_num(pieces).astype(np.int64), [len(x) >> 2 for x in raw]) * pairs["freq"]
+    """Counts of one block from its head and its partial sums."""
+    heads, raw = group.column("head").to_pylist(), group.column("sums").to_pylist()
+    docs = np.frombuffer(raw[heads.index(True)], _DOC)
+    sums = np.frombuffer(b"".join(x for x, h in zip(raw, heads, strict=True) if not h), _SUM)
     tokens = np.zeros(len(docs), np.int64)
-    if len(pairs):
-        tokens += np.rint(np.bincount(pairs["doc"], weights, len(docs))).astype(np.int64)
+    np.add.at(tokens, sums["doc"], sums["tokens"].astype(np.int64))
     return pa.table({"doc_id": pa.array(docs["doc_id"], mask=docs["null"] != 0), "n_bytes": docs["n_bytes"], "n_tokens": tokens})
 
 
@@ -134,7 +164,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_blocks(path), "block long, pretoken string, postings binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, F.coalesce("pretoken", F.col("block").cast("string"))).sortWithinPartitions("pretoken")
-    counted = dealt.mapInArrow(_joined(path), "block long, pieces long, postings binary")
+    counted = dealt.mapInArrow(_joined(path), "block long, head boolean, sums binary")
     out = counted.groupBy("block").applyInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
