@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from evidentia.plans import coverage, evaluation, logs, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = coverage.QUERIES | logs.QUERIES | texts.QUERIES | evaluation.QUERIES
+ORACLE_SQL: dict[str, str] = coverage.ORACLE_SQL | logs.ORACLE_SQL | texts.ORACLE_SQL | evaluation.ORACLE_SQL
