@@ -14,7 +14,7 @@ from evidentia.session import checkpointing, cut, ship, table  # noqa: F401  (us
 #: Multiplier of the polynomial hashes; odd, so that it is a unit modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that are hashed at once. Positions enter a hash relative to this size, so it is a constant.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 _powers: np.ndarray | None = None
 

@@ -100,7 +100,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         while at < len(rows):
             upto, size = at, 0
-            while upto < len(rows) and (upto == at or size + len(rows[upto]) <= 1 << 21):
+            while upto < len(rows) and (upto == at or size + len(rows[upto]) <= PIECE):
                 size, upto = size + len(rows[upto]), upto + 1
             sets = [shingles(np.frombuffer(r, np.uint8)) for r in rows[at:upto]]
             full = [s for s in sets if len(s)]

@@ -293,7 +293,7 @@ def anchor_of(data: bytes) -> int:
     return int(np.argmin(grams & ~_LOW))
 
 
-def _kept(schema: pa.Schema):
+def _kept(schema: pa.Schema, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text: the bytes that stay and the maximal runs that go."""
         for batch in batches:
@@ -311,7 +311,10 @@ def _kept(schema: pa.Schema):
                     column.append(value)
             columns = [batch.column("doc_id"), batch.column("rest"), *out]
             whole = schema.set(1, pa.field("rest", batch.column("rest").type))
-            yield from emit(whole, columns, 2_000)
+            if as_text:  # a character of which some bytes went is dropped whole
+                columns = [*columns[:2], [k.decode("utf-8", "ignore") for k in out[4]]]
+                whole = pa.schema([whole[0], whole[1], pa.field("text", pa.string())])
+            yield from emit(whole, columns, 500)
 
     return run
 
@@ -322,13 +325,14 @@ _KEPT = pa.schema(
 )
 
 
-def deduplicated(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """doc_id, rest, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) and removed (the spans) of every row.
 
     Texts are UTF-8 bytes, null ones empty; matches never cross documents. Rows that repeat an id
     are documents of their own in the order of the input, and rows without an id come after all
     others. Texts under SPAN bytes are kept whole. `rest` is a struct of the columns named in
-    `carry`, others are ignored. An empty table gives no rows.
+    `carry`, others are ignored. An empty table gives no rows. With `as_text` the rows have doc_id,
+    rest and the text that stays.
     """
     ship(docs.sparkSession)
     rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
@@ -343,7 +347,9 @@ def deduplicated(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     found = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = texts.join(found, "rid", "left").select("doc_id", "rest", "text", "spans")
     kind = texts.schema["rest"].dataType.simpleString()
-    return joined.mapInArrow(_kept(_KEPT), f"doc_id long, rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>")
+    if as_text:
+        return joined.mapInArrow(_kept(_KEPT, True), f"doc_id long, rest {kind}, text string")
+    return joined.mapInArrow(_kept(_KEPT, False), f"doc_id long, rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -358,15 +364,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     counts what is left. Documents of which nothing is left stay, with an empty text.
     """
     names = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = deduplicated(docs, names)
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rest"), pa.array(texts, pa.string())], names=["doc_id", "rest", "text"])
-
-    kind = out.schema["rest"].dataType.simpleString()
-    texts = out.select("doc_id", "rest", "kept").mapInArrow(decoded, f"doc_id long, rest {kind}, text string")
+    texts = deduplicated(docs, names, as_text=True)
     columns = {c: F.col(f"rest.`{c}`") for c in names} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

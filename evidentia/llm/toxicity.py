@@ -18,6 +18,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from evidentia.llm.common import emit, ship, texts_of
 
@@ -44,7 +45,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
 class Features:
     """Feature buckets of words, with a bounded cache."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.cache: dict[str, tuple[int, ...]] = {}
         self.most = most
 
@@ -169,7 +170,7 @@ class _Scorer:
     def sentences(self, text: str) -> np.ndarray:
         """Probabilities of the sentences."""
         cache, buckets, weights = self.cache, self.features.of, self.model.weights
-        if len(cache) > 400_000:
+        if len(cache) > 200_000:
             cache.clear()
         logits = []
         for part in _SENTENCE.findall(text):
@@ -241,16 +242,18 @@ def score_table(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> D
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows whose text scores under the threshold, with the columns that they had."""
+    """The rows whose text scores under the threshold, with the columns that they had.
+
+    Only texts go to Python and only scores come back.
+    """
     spark = docs.sparkSession
     ship(spark)
     model = train(docs, labels)
     held, key = spark.sparkContext.broadcast(model), zlib.crc32(model.weights.tobytes()) ^ hash(model.bias)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
         scorer = _scorer(key, held.value)
-        for batch in batches:
-            scores = [noisy_or(scorer.sentences(t)) for t in texts_of(batch.column("text"))]
-            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+        return pa.array([noisy_or(scorer.sentences(t)) for t in texts_of(texts)], pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(F.col("text").cast("string")) < threshold)
