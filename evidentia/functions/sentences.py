@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 #: Words whose full stop ends no sentence. (Fixed values.)
 ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs etc inc corp co ltd llc plc no nos vol fig approx dept est gov sen rep gen col capt e.g i.e u.s u.k jan feb mar apr jun jul aug sep sept oct nov dec".split())
 _END = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s)")
-_LEADING = re.compile(r"\s*(?:[•◦▪*–-]|\(?[0-9a-zA-Z]{1,3}[.)])\s+")
+_LEADING = re.compile(r"\s*(?:[•◦▪*–-]|\(?(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})[.)])\s+")
 _WORD_BEFORE = re.compile(r"([A-Za-z.]+)$")
 
 

@@ -12,7 +12,10 @@ from evidentia.functions.dates import quarter_end
 from evidentia.operators import contracts as C, prevalence as P
 from evidentia.session import table
 
-NONE = F.array().cast("array<string>")
+
+def none():
+    """An empty array of strings."""
+    return F.array().cast("array<string>")
 
 
 def order_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +25,12 @@ def order_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("entity_id"), quarter_end(F.to_date("o_orderdate")).alias("period_end"),
         F.lit("order").alias("doc_type"), F.lit("all").alias("speaker_role"), F.lit("eligible").alias("eligibility_status"),
         (F.col("o_orderstatus") != "P").alias("available"), (F.col("o_orderstatus") != "P").alias("parsed"), observable.alias("observable"),
-        F.when(observable, NONE).otherwise(F.array(F.lit("pending"))).alias("missing_reasons"), "o_orderpriority",
+        F.when(observable, none()).otherwise(F.array(F.lit("pending"))).alias("missing_reasons"), "o_orderpriority",
     )
 
 
 def observations(coverage: DataFrame, theme: str) -> DataFrame:
-    return coverage.select("event_id", "doc_type", "speaker_role", F.col(theme).alias("theme_id"), F.lit(True).alias("headline_eligible"), NONE.alias("mask_ids"))
+    return coverage.select("event_id", "doc_type", "speaker_role", F.col(theme).alias("theme_id"), F.lit(True).alias("headline_eligible"), none().alias("mask_ids"))
 
 
 def _shown(rows: DataFrame) -> DataFrame:

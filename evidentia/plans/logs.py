@@ -236,8 +236,8 @@ SELECT entity_id, 'first_edge' AS kind, strftime(a, '%Y-%m-%d') AS first_period,
 UNION ALL SELECT entity_id, 'last_edge', strftime(a, '%Y-%m-%d'), strftime(b, '%Y-%m-%d') FROM e WHERE date_diff('day', b, DATE '1998-12-31') > 91""",
     "next_period": f"WITH {_PERIODS} SELECT entity_id, strftime(period_end, '%Y-%m-%d') AS period_end, strftime(lead(period_end) OVER (PARTITION BY entity_id ORDER BY periods.period_end), '%Y-%m-%d') AS next_period_end FROM periods",
     "eligibility_cascade": f"""WITH {_DAYS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS r FROM days WHERE action <> 'ambiguous') WHERE r = 1 AND action = 'added'),
-o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, o_orderdate, o_orderpriority, o_orderstatus, to_timestamp(1704067200 + (epoch(o_orderdate)::BIGINT + o_orderkey * 613) % 2592000) AT TIME ZONE 'UTC' AS at FROM orders),
-l AS (SELECT o.*, f.day AS valid_from, (at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS e FROM o LEFT JOIN f USING (user_id)),
+o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, o_orderdate, o_orderpriority, o_orderstatus, to_timestamp(1704067200 + (epoch(o_orderdate)::BIGINT + o_orderkey * 613) % 2592000) AT TIME ZONE 'UTC' AS tm FROM orders),
+l AS (SELECT o.*, f.day AS valid_from, (tm AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS e FROM o LEFT JOIN f USING (user_id)),
 m AS (SELECT *, CASE WHEN valid_from IS NULL THEN false WHEN CAST(e AS DATE) < valid_from THEN false WHEN CAST(e AS DATE) > valid_from THEN true WHEN hour(e) * 60 + minute(e) >= 570 THEN true END AS member FROM l),
 r AS (SELECT *, CASE WHEN CAST(o_orderdate AS DATE) NOT BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' THEN 'outside_window' WHEN o_orderpriority LIKE '1%' THEN 'no_release' WHEN o_orderpriority LIKE '2%' THEN 'several_releases'
   WHEN o_orderstatus = 'P' THEN 'after_cutoff' WHEN member IS NULL THEN 'membership_unordered' WHEN NOT member THEN 'not_a_member' END AS reason FROM m)

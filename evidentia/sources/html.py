@@ -123,6 +123,7 @@ class _Walker(HTMLParser):
             self.bold = max(0, self.bold - 1)
         elif tag in ("ul", "ol"):
             self.lists = max(0, self.lists - 1)
+            self.item = self.lists > 0 or None
         elif tag == "li":
             self.item = None
         elif re.fullmatch("h[1-6]", tag):
