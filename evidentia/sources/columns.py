@@ -58,3 +58,28 @@ def holdings(rows: DataFrame, payload: str) -> DataFrame:
     schema = "struct<invstOrSecs:struct<invstOrSec:array<struct<name:string,cusip:string,balance:double,valUSD:double>>>>"
     parsed = F.from_xml(F.col(payload), schema)
     return rows.select(*[c for c in rows.columns if c != payload], F.explode(parsed["invstOrSecs"]["invstOrSec"]).alias("h")).select("*", "h.*").drop("h")
+
+
+def registrants(rows: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:
+    """(names, older pages) of registrant files: current and former names with their spans, and the pages that hold older filings."""
+    schema = "struct<cik:string,name:string,tickers:array<string>,formerNames:array<struct<name:string,from:string,to:string>>,filings:struct<files:array<struct<name:string,filingCount:long,filingFrom:string,filingTo:string>>>>"
+    p = rows.select(F.from_json(F.col(payload), schema).alias("p")).select("p.*").withColumn("cik", F.col("cik").cast("long"))
+    now = F.array(F.struct(F.col("name"), F.lit(None).cast("string").alias("from"), F.lit(None).cast("string").alias("to")))
+    names = p.select("cik", F.explode(F.concat(now, F.coalesce("formerNames", F.array().cast("array<struct<name:string,from:string,to:string>>")))).alias("n")).select("cik", F.col("n.name").alias("name"), F.to_date("n.from").alias("valid_from"), F.to_date("n.to").alias("valid_to"))
+    pages = p.select("cik", F.explode("filings.files").alias("f")).select("cik", F.col("f.name").alias("page"), F.col("f.filingCount").alias("stated_count"), F.to_date("f.filingFrom").alias("first_on"), F.to_date("f.filingTo").alias("last_on"))
+    return names, pages
+
+
+def filing_index(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Form, acceptance time, items and document rows of filing index pages, read off labels and table rows."""
+    h = F.col(html)
+    label = lambda name: F.trim(F.regexp_extract(h, rf"(?is){name}\s*</div>\s*<div[^>]*>\s*([^<]+?)\s*</div>", 1))
+    cells = F.regexp_extract_all(h, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
+    documents = F.transform(cells, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1), lambda c: F.trim(F.regexp_replace(c, r"<[^>]+>", ""))))
+    return pages.select("accession", F.regexp_extract(h, r"(?is)<strong>\s*Form\s+([^<\s]+)", 1).alias("form"), label("Accepted").alias("accepted"), label("Items").alias("items"), F.filter(documents, lambda d: F.size(d) >= 4).alias("documents"))
+
+
+def bundle(spark, path: str, schema: str = "doc_id string, source_document_id string, canonicalization_version string, canonical_text string, canonical_hash string, elements array<struct<element_id:string,type:string,start:int,end:int,parent_id:string>>"):
+    """Canonical bundles from JSON files, one document each, with a reason where the hash does not fit the text."""
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    return rows.withColumn("reason", F.when(F.col("canonical_text").isNull(), "unreadable").when(F.sha2("canonical_text", 256) != F.col("canonical_hash"), "hash_mismatch"))
