@@ -29,9 +29,9 @@ SAMPLE_CHARS = 8_000_000
 BUCKETS = 1 << 18
 BEGINNINGS = (2, 3, 4, 5, 6, 7)
 #: Documents that must hold a feature before it gets a weight.
-LEAST_DOCS = 4
+LEAST_DOCS = 3
 #: Standard errors by which a feature's shares must differ between the classes before it gets a weight.
-LEAST_Z = 3.5
+LEAST_Z = 4.5
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
 _WORD = re.compile(r"\w+")
@@ -99,20 +99,23 @@ def _arrays(texts: list[str], kept: np.ndarray, features: Features) -> tuple[np.
     return np.array(index, np.int64), np.array(sentence, np.int64), np.array(document, np.int64)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 120, rate: float = 0.25, penalty: float = 2e-6) -> ToxicityModel:
-    """Train through the noisy-or by full-batch Adam; few or one-sided labels give a constant model."""
+def fit(texts: list[str], labels: list[int], share: float | None = None, epochs: int = 120, rate: float = 0.25, penalty: float = 2e-6) -> ToxicityModel:
+    """Train through the noisy-or by full-batch Adam; one-sided labels give a constant model.
+
+    `share` is the share of toxic documents among all labelled ones, where the sample has another.
+    """
     y = np.array(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
-        share = 0.0 if len(y) == 0 else float(y[0])
-        return ToxicityModel(np.zeros(BUCKETS), 12.0 if share else -12.0)
+        return ToxicityModel(np.zeros(BUCKETS), 12.0 if len(y) and y[0] else -12.0)
     features = Features()
     feature, sentence, document = _arrays(texts, _telling(texts, y, features), features)
     n_docs, n_sentences = len(texts), len(document)
     used, feature = np.unique(feature, return_inverse=True)
-    w, bias = np.zeros(len(used)), -5.0
+    w, bias = np.zeros(len(used)), -7.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    share = y.mean()
-    cost = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
+    taken = y.mean()
+    share = taken if share is None else share
+    cost = np.where(y > 0, share / taken, (1 - share) / (1 - taken))
     for step in range(1, epochs + 1):
         z = bias + np.bincount(sentence, w[feature], n_sentences)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -130,8 +133,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 120, rate: float = 0.
     return ToxicityModel(weights, float(bias))
 
 
-def sample(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2) -> tuple[list[str], list[int]]:
-    """The labelled texts to learn from: those whose crc32(doc_id) mod 4 is not `spare_rest`, bounded by SAMPLE and SAMPLE_CHARS.
+def sample(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2) -> tuple[list[str], list[int], float | None]:
+    """The labelled texts to learn from: those whose crc32(doc_id) mod 4 is not `spare_rest`, bounded by SAMPLE and SAMPLE_CHARS; and the share of toxic ones among all of these.
 
     Which documents are taken depends on a hash of the id alone. Rows without an id, a text or a
     label teach nothing; a document with several labels is taken once with the largest.
@@ -140,6 +143,7 @@ def sample(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2) -> tu
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if spare_rest is not None:
         known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != spare_rest)
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     texts, marks = [], []
     for label in (0, 1):
         ids = known.where(F.col("toxic") == label).withColumn("o", order).orderBy("o", "doc_id").limit(SAMPLE)
@@ -151,7 +155,7 @@ def sample(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2) -> tu
                 break
             texts.append(row["text"])
             marks.append(label)
-    return texts, marks
+    return texts, marks, n.get(1, 0) / sum(n.values()) if n else None
 
 
 def train(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2) -> ToxicityModel:
