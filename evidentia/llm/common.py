@@ -116,10 +116,10 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[t
         yield whole, starts(whole)
 
 
-def sorted_runs(rows: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
-    """The function over each partition's batches, with all rows of a key in one partition and sorted by the keys."""
+def sorted_runs(rows: DataFrame, keys: list[str], function, schema: str, order: list[str] | None = None) -> DataFrame:
+    """The function over each partition's batches, with all rows of a key in one partition and sorted by the keys and the order."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(function, schema)
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(function, schema)
 
 
 def written(df: DataFrame) -> DataFrame:

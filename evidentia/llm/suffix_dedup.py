@@ -12,6 +12,9 @@ since all but the earliest go. Only the earliest of unequal segments with one an
 to be compared by suffixes. There the logarithmic family works: segments come in batches in the
 order of documents, each batch gets a suffix array, is merge-scanned against the existing levels
 for full-length matches, and joins them as a level; levels of one size class merge.
+
+An anchor hash that very many unequal segments share, such as that of a short line in a third of
+all documents, is dealt into many parts in both steps, the second time by single windows.
 """
 
 from __future__ import annotations
@@ -35,8 +38,13 @@ MANY = 4096
 #: Segments in a batch of the family.
 BATCH = 512
 
-_ROWS = pa.schema([("key", pa.int64()), ("segment", pa.int64()), ("ord", pa.int64()), ("rid", pa.int64()), ("at", pa.int64())])
-_ROWS_SQL = "key long, segment long, ord long, rid long, at long"
+#: Unequal segments with one anchor hash in a batch of documents from which on the hash is a frequent one, and parts that its segments are dealt into.
+FREQUENT, SALTS = 32, 64
+#: Marks in `at`: a span to remove, and the notice that an anchor hash is frequent, which sorts before all its segments.
+_IS_SPAN, _IS_NOTICE, _FIRST = 0, 127, -(2**63)
+
+_ROWS = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("segment", pa.int64()), ("ord", pa.int64()), ("rid", pa.int64()), ("at", pa.int64())])
+_ROWS_SQL = "key long, salt long, segment long, ord long, rid long, at long"
 
 
 def _least_before(x: np.ndarray, width: int) -> np.ndarray:
@@ -121,10 +129,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.zeros(len(key), bool)
         again[1:] = (key[1:] == key[:-1]) & (digest[1:] == digest[:-1])
         first = ~again
-        yield from emit(_ROWS, [key[first].view(np.int64), digest[first].view(np.int64), order[row[first]], rid[row[first]], start[first] * 128 + count[first]])
         if again.any():
             r, a, b = merged(row[again], start[again], start[again] + count[again] - 1 + SPAN)
-            yield from emit(_ROWS, [rid[r], b, order[r], rid[r], a * 128])
+            yield from emit(_ROWS, [rid[r], np.zeros(len(r), np.int64), b, order[r], rid[r], a * 128 + _IS_SPAN])
+        key, digest, row, start, count = (x[first] for x in (key, digest, row, start, count))
+        names, code, held = np.unique(key, return_inverse=True, return_counts=True)
+        frequent = (held > FREQUENT)[code]
+        salt = np.where(frequent, 1 + (digest % np.uint64(SALTS)).astype(np.int64), 0)
+        yield from emit(_ROWS, [key.view(np.int64), salt, digest.view(np.int64), order[row], rid[row], start * 128 + count])
+        if frequent.any():
+            notice = names[held > FREQUENT].view(np.int64)
+            zero = np.zeros(len(notice), np.int64)
+            yield from emit(_ROWS, [notice, zero, zero + _FIRST, zero, zero, zero + _IS_NOTICE])
 
 
 def merged(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,50 +160,54 @@ def merged(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return group[first], start[first], reach[last] - lift[last]
 
 
-_SETTLED = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("end", pa.int64())])
-_SETTLED_SQL = "key long, ord long, rid long, at long, end long"
+_SETTLED = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("end", pa.int64()), ("frequent", pa.bool_())])
+_SETTLED_SQL = "key long, ord long, rid long, at long, end long, frequent boolean"
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of the segments that equal an earlier one, and the earliest segments where an anchor hash has several.
 
-    The rows come sorted by key, segment, document and place. Spans have an `end`; the others wait
-    for their suffixes' comparison. What is carried from batch to batch is one row.
+    The rows come sorted by key, salt, segment, document and place. Spans have an `end`; the others
+    wait for their suffixes' comparison. The segments of a frequent hash lie under several salts
+    and some, from batches where it was not frequent, under none; all of them wait. What is
+    carried from batch to batch is one row.
     """
-    last_key = last_segment = waiting = None
-    several = False
+    last = (None, None, None)
+    waiting, several, often = None, False, False
     for batch in batches:
-        key, segment, order, rid, at = (batch.column(c).to_numpy() for c in _ROWS.names)
-        span = at % 128 == 0
+        key, salt, segment, order, rid, at = (batch.column(c).to_numpy() for c in _ROWS.names)
+        span = at % 128 == _IS_SPAN
         if span.any():
-            yield from emit(_SETTLED, [key[span], order[span], rid[span], at[span] // 128, segment[span]])
-            key, segment, order, rid, at = (x[~span] for x in (key, segment, order, rid, at))
+            yield from emit(_SETTLED, [key[span], order[span], rid[span], at[span] // 128, segment[span], np.zeros(int(span.sum()), bool)])
+            key, salt, segment, order, rid, at = (x[~span] for x in (key, salt, segment, order, rid, at))
         if not len(key):
             continue
-        new_key = np.append(True, key[1:] != key[:-1])
+        notice = at % 128 == _IS_NOTICE
+        new_key = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
         new = new_key | np.append(True, segment[1:] != segment[:-1])
-        new_key[0] = last_key is None or key[0] != last_key
-        new[0] = new_key[0] or segment[0] != last_segment
-        repeats = ~new
+        new_key[0] = (key[0], salt[0]) != last[:2]
+        new[0] = new_key[0] or segment[0] != last[2]
+        repeats = ~new & ~notice
         if repeats.any():
             start = at[repeats] // 128
-            yield from emit(_SETTLED, [key[repeats], order[repeats], rid[repeats], start, start + at[repeats] % 128 - 1 + SPAN])
+            yield from emit(_SETTLED, [key[repeats], order[repeats], rid[repeats], start, start + at[repeats] % 128 - 1 + SPAN, np.zeros(len(start), bool)])
         run = np.cumsum(new_key)  # 0: goes on with the key of the batch before
         owners = np.bincount(run[new], minlength=run[-1] + 1)
-        if not new_key[0] and owners[0]:
-            if not several:
-                yield from emit(_SETTLED, [*[[x] for x in waiting], pa.array([None], pa.int64())])
-            several = True
-        many = owners > 1
-        many[0] = several if not new_key[0] else many[0]
-        taken = new & many[run]
+        frequent = np.bincount(run[notice | (salt > 0)], minlength=run[-1] + 1) > 0
+        many = (owners > 1) | frequent
+        if not new_key[0]:
+            frequent[0] |= often
+            if not several and owners[0] and waiting is not None:
+                yield from emit(_SETTLED, [*[[x] for x in waiting], pa.array([None], pa.int64()), [bool(frequent[0])]])
+            several = many[0] = several or bool(owners[0])
+        taken = new & ~notice & many[run]
         if taken.any():
-            yield from emit(_SETTLED, [key[taken], order[taken], rid[taken], at[taken], pa.nulls(int(taken.sum()), pa.int64())])
+            yield from emit(_SETTLED, [key[taken], order[taken], rid[taken], at[taken], pa.nulls(int(taken.sum()), pa.int64()), frequent[run[taken]]])
         if run[-1] > 0:
-            several = bool(many[run[-1]])
-            i = int(np.flatnonzero(new & (run == run[-1]))[0])
-            waiting = (int(key[i]), int(order[i]), int(rid[i]), int(at[i]))
-        last_key, last_segment = key[-1], segment[-1]
+            several, i = bool(many[run[-1]]), int(np.flatnonzero(new & (run == run[-1]))[0])
+            waiting = None if notice[i] else (int(key[i]), int(order[i]), int(rid[i]), int(at[i]))
+        often = bool(frequent[run[-1]])
+        last = (key[-1], salt[-1], segment[-1])
 
 
 class SuffixFamily:
@@ -223,7 +243,22 @@ def _windows(data: bytes, count: int) -> np.ndarray:
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of the suffixes that a family of segments with equal anchor hashes held before."""
-    for table, starts in whole_runs(batches, ["key"]):
+    for table, starts in whole_runs(batches, ["key", "part"]):
+        alone = table.column("data").is_null().to_numpy(zero_copy_only=False)
+        if alone.any():  # single windows of frequent hashes come sorted: all but the first of a run were there before
+            first = np.zeros(len(alone), bool)
+            first[starts] = True
+            rid, at = table.column("rid").to_numpy(), table.column("at").to_numpy() // 128
+            span = alone & (table.column("at").to_numpy() % 128 == _IS_SPAN)
+            again = alone & ~first & ~span
+            rows = np.concatenate([rid[again], rid[span]]), np.concatenate([at[again], at[span]]), np.concatenate([at[again] + SPAN, table.column("anchor").to_numpy()[span]])
+            yield from emit(_SPANS, merged(*rows))
+            table = table.filter(pa.array(~alone))
+            kept = ~alone
+            place = np.cumsum(kept) - 1
+            starts = place[np.flatnonzero(kept & first)]
+            if not table.num_rows:
+                continue
         counts = table.column("at").to_numpy() % 128
         begin = table.column("at").to_numpy() // 128
         rid, anchor = table.column("rid").to_numpy(), table.column("anchor").to_numpy()
@@ -269,20 +304,45 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPANS = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
+_FETCHED = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("ord", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("data", pa.binary())])
+_FETCHED_SQL = "key long, part long, ord long, rid long, at long, anchor long, data binary"
+
+
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the asked segments of each text, and where their anchors lie."""
-    schema = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("data", pa.binary())])
+    """The bytes of the asked segments of each text, and where their anchors lie.
+
+    The segments of a frequent anchor hash are sent as single windows instead, dealt by a hash of
+    each window, so that no task gets all of them; of equal windows in a batch only the earliest
+    goes on, the others' spans are known already.
+    """
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        asked, orders = batch.column("asked").to_pylist(), ordinals(batch.column("doc_id"))
+        out: list[list] = [[], [], [], [], [], [], []]
+        asked, orders, rids = batch.column("asked").to_pylist(), ordinals(batch.column("doc_id")), batch.column("rid").to_numpy()
+        single: list[list[np.ndarray]] = [[], [], [], []]
         for n, text in enumerate(byte_rows(batch.column("text"))):
-            order, rid = int(orders[n]), batch.column("rid")[n].as_py()
             for ask in asked[n]:
                 start, count = divmod(ask["at"], 128)
                 data = bytes(text[start : start + count - 1 + SPAN])
-                for column, value in zip(out, (ask["key"], order, rid, ask["at"], start + anchor_of(data), data), strict=True):
+                if ask["frequent"]:
+                    at = np.arange(count)
+                    window = span_hash(prefix_hash(np.frombuffer(data, np.uint8)), at, at + SPAN)
+                    for column, values in zip(single, (np.full(count, ask["key"]), window, np.full(count, n), start + at), strict=True):
+                        column.append(values)
+                    continue
+                for column, value in zip(out, (ask["key"], 0, int(orders[n]), int(rids[n]), ask["at"], start + anchor_of(data), data), strict=True):
                     column.append(value)
-        yield from emit(schema, out, 5_000)
+        yield from emit(_FETCHED, out, 5_000)
+        if single[0]:
+            key, window, row, start = map(np.concatenate, single)
+            sort = np.lexsort((start, rids[row], orders[row], window, key))
+            key, window, row, start = (x[sort] for x in (key, window, row, start))
+            again = np.append(False, (key[1:] == key[:-1]) & (window[1:] == window[:-1]))
+            first = ~again
+            n = int(first.sum())
+            yield from emit(_FETCHED, [key[first], window[first].view(np.int64), orders[row[first]], rids[row[first]], start[first] * 128 + 1, np.zeros(n, np.int64), pa.nulls(n, pa.binary())])
+            if again.any():
+                r, a, b = merged(row[again], start[again], start[again] + SPAN)
+                yield from emit(_FETCHED, [rids[r], b, orders[r], rids[r], a * 128 + _IS_SPAN, b, pa.nulls(len(r), pa.binary())])
 
 
 def anchor_of(data: bytes) -> int:
@@ -339,10 +399,10 @@ def deduplicated(docs: DataFrame, carry: list[str] | None = None, as_text: bool
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"), F.monotonically_increasing_id().alias("rid"))
     rows = texts.select("doc_id", "rid", "text").mapInArrow(_cut, _ROWS_SQL)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    settled = written(rows.repartition(parts, "key").sortWithinPartitions("key", "segment", "ord", "rid", "at").mapInArrow(_settled, _SETTLED_SQL))
-    asked = settled.where("end is null").groupBy("rid").agg(F.collect_list(F.struct("key", "at")).alias("asked"))
-    fetched = texts.join(asked, "rid").select("doc_id", "rid", "text", "asked").mapInArrow(_fetched, "key long, ord long, rid long, at long, anchor long, data binary")
-    compared = sorted_runs(fetched, ["key"], _compared, "rid long, start long, end long")
+    settled = written(rows.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "segment", "ord", "rid", "at").mapInArrow(_settled, _SETTLED_SQL))
+    asked = settled.where("end is null").groupBy("rid").agg(F.collect_list(F.struct("key", "at", "frequent")).alias("asked"))
+    fetched = texts.join(asked, "rid").select("doc_id", "rid", "text", "asked").mapInArrow(_fetched, _FETCHED_SQL)
+    compared = sorted_runs(fetched, ["key", "part"], _compared, "rid long, start long, end long", ["ord", "rid", "at"])
     spans = settled.where("end is not null").select("rid", F.col("at").alias("start"), "end").unionByName(compared)
     found = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = texts.join(found, "rid", "left").select("doc_id", "rest", "text", "spans")

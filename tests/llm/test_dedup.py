@@ -159,9 +159,9 @@ def test_many_segments_of_one_anchor(monkeypatch, passages):
             start, count, key, _ = X.segments(np.frombuffer(data, np.uint8), np.array([len(data)]))
             for s, c, k in zip(start.tolist(), count.tolist(), key.view(np.int64).tolist(), strict=True):
                 part = data[s : s + c - 1 + X.SPAN]
-                fetched.append((k, i, rid, s * 128 + c, s + X.anchor_of(part), part))
+                fetched.append((k, 0, i, rid, s * 128 + c, s + X.anchor_of(part), part))
         fetched.sort()
-        names = ["key", "ord", "rid", "at", "anchor", "data"]
+        names = ["key", "part", "ord", "rid", "at", "anchor", "data"]
         batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*fetched[a : a + 700], strict=True)], names=names) for a in range(0, len(fetched), 700)]
         marks = {}
         for b in X._compared(iter(batches)):
@@ -175,6 +175,17 @@ def test_many_segments_of_one_anchor(monkeypatch, passages):
     assert {rid: len(s) for rid, s in plain.items()} == {n: v[1] for n, (i, v) in enumerate(sorted(removed(passages).items())) if v[1]}
 
 
+def test_frequent_anchors(spark):
+    """A short line and a longer passage in very many unequal surroundings, over several batches."""
+    rng = random.Random(8)
+    line, passage = "a common line of some fifty or sixty bytes in all, yes", "".join(rng.choices("xyz", k=104))
+    texts = ["".join(rng.choices("abcdefgh", k=rng.randint(60, 160))) + rng.choice([line, passage, line + passage]) + "".join(rng.choices("abcdefgh", k=rng.randint(60, 160))) for _ in range(400)]
+    rows = list(enumerate(texts)) + [(1000, line * 3), (1001, passage + "tail" * 30)]
+    for parts in (1, 9):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        assert {r[0]: tuple(r)[1:] for r in repeated_spans(docs).collect()} == removed(rows)
+
+
 def test_family_levels():
     rng = random.Random(2)
     family, seen = SuffixFamily(), set()
