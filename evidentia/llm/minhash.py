@@ -3,7 +3,8 @@
 Documents with the same set of word shingles form a class; one of each class goes on. A class's
 MinHash signature is posted under the (coordinate, value) pairs of a prefix of its coordinates:
 two signatures that agree in at least MATCHES of COORDINATES must share one of the first
-COORDINATES - MATCHES + 1. Inside a posting list, classes that cannot collect enough collisions
+COORDINATES - MATCHES + 1. Values that very many classes have, such as those of a common passage,
+are left out of the count: the same holds for the first as many others. Inside a posting list, classes that cannot collect enough collisions
 with the others at all are skipped; the rest are merged from one to the next, counting the
 collisions, and those above the threshold are joined by the edges of a spanning forest.
 
@@ -33,6 +34,9 @@ LIST = 8192
 #: Shingles of candidates that one task compares; larger groups are dealt into tiles that meet in pairs.
 SHINGLES = 1_500_000
 
+#: Classes that frequent values are looked for in, and times that a value must occur among them at least to be called frequent.
+SAMPLE, LEAST = 200_000, 64
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -143,6 +147,60 @@ def connected(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def posting_hashes(signatures: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each coordinate and its value."""
+    return mix(signatures.astype(np.uint64) | (np.arange(1, COORDINATES + 1, dtype=np.uint64) << np.uint64(32)))
+
+
+def postings(signatures: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, posting) under which signatures are found, for a set of frequent hashes.
+
+    Whatever that set is, two rows that agree in MATCHES coordinates share a posting. If f of a
+    row's coordinates are frequent, agreeing rows share MATCHES - f others at least, so the first
+    of these is among the row's first PREFIX others. Rows with f >= MATCHES may share frequent
+    values alone: they also go under the frequent ones of their first PREFIX coordinates, in
+    lists of their own.
+    """
+    hashes = posting_hashes(signatures)
+    often = np.isin(hashes, frequent) if len(frequent) else np.zeros(hashes.shape, bool)
+    taken = ~often & (np.cumsum(~often, axis=1) <= PREFIX)
+    row, column = np.nonzero(taken)
+    found = hashes[row, column]
+    dense = np.flatnonzero(often.sum(1) >= MATCHES)
+    if len(dense):
+        r, c = np.nonzero(often[dense, :PREFIX])
+        row, found = np.concatenate([row, dense[r]]), np.concatenate([found, mix(hashes[dense[r], c] ^ np.uint64(0x5DEECE66D))])
+    return row, found
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+
+
+def _posted(frequent: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found = postings(_matrix(batch.column("signature")), frequent)
+            yield from emit(_POSTED, [batch.column("node").to_numpy()[row], found.view(np.int64)])
+
+    return run
+
+
+def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(posting_hashes(_matrix(batch.column("signature"))).view(np.int64).ravel())], names=["value"])
+
+
+def frequent_values(classes: DataFrame, n: int) -> np.ndarray:
+    """Hashes that more than about LIST classes have, judged by a sample of SAMPLE classes at most; so there are 64 * SAMPLE / LEAST of them at most."""
+    share = min(1.0, SAMPLE / max(1, n))
+    sampled = classes if share == 1.0 else classes.where(F.pmod(F.col("node"), F.lit(1_000_000)) < int(share * 1_000_000))
+    counts = sampled.select("signature").mapInArrow(_valued, "value long").groupBy("value").count()
+    rows = counts.where(F.col("count") > max(LEAST, int(LIST * share))).select("value").collect()
+    return np.sort(np.array([r["value"] for r in rows], np.int64).view(np.uint64))
+
+
+_POSTED = pa.schema([("node", pa.int64()), ("posting", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -242,8 +300,8 @@ def near_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     # Classes go by a hash of their digest, since one id may stand for several where rows repeat it.
     classes = cut(classes.withColumn("node", F.xxhash64("class")))
-    values = F.transform(F.sequence(F.lit(0), F.lit(PREFIX - 1)), lambda k: F.xxhash64(k, F.substring("signature", k * 4 + 1, F.lit(4))))
-    posted = classes.select("node", F.explode(values).alias("posting"))
+    frequent = frequent_values(classes, classes.count())
+    posted = classes.select("node", "signature").mapInArrow(_posted(frequent), "node long, posting long")
     lists = posted.groupBy("posting").agg(F.ceil(F.count("*") / LIST).cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
     entries = posted.join(lists, "posting").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
     entries = _met(entries.join(classes.select("node", "signature"), "node")).select("posting", "low", "high", "node", "signature")

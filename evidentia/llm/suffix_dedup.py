@@ -39,7 +39,7 @@ MANY = 4096
 BATCH = 512
 
 #: Unequal segments with one anchor hash in a batch of documents from which on the hash is a frequent one, and parts that its segments are dealt into.
-FREQUENT, SALTS = 32, 64
+FREQUENT, SALTS = 16, 64
 #: Marks in `at`: a span to remove, and the notice that an anchor hash is frequent, which sorts before all its segments.
 _IS_SPAN, _IS_NOTICE, _FIRST = 0, 127, -(2**63)
 

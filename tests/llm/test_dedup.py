@@ -106,6 +106,35 @@ def test_signature_skipping():
     assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == {(i, 30 + i) for i in range(10)}
 
 
+def test_agreeing_rows_share_a_posting():
+    import evidentia.llm.minhash as M
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        x = rng.integers(0, 2**32, 64).astype(np.uint32)
+        y = x.copy()
+        y[rng.permutation(64)[: 64 - M.MATCHES]] = 7
+        both = np.stack([x, y])
+        hashes = M.posting_hashes(both)
+        frequent = np.unique(hashes[rng.integers(0, 2), rng.permutation(64)[: rng.integers(0, 65)]])
+        row, found = M.postings(both, frequent)
+        assert set(found[row == 0].tolist()) & set(found[row == 1].tolist())
+
+
+def test_near_documents_with_a_common_passage(spark, monkeypatch):
+    import evidentia.llm.minhash as M
+
+    monkeypatch.setattr(M, "LIST", 12)
+    monkeypatch.setattr(M, "LEAST", 12)
+    passage = " ".join(f"common{i}" for i in range(40))
+    texts = [f"{t} {passage}" for t in near_copies(5) if t] + [" ".join(f"hot{i}" for i in range(60)) + f" {n}" for n in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    want = joined(links, range(len(texts)))
+    assert {r["doc_id"]: r["component_id"] for r in near_documents(docs).collect()} == want
+
+
 def removed(rows):
     seen, out = set(), {}
     for i, text in sorted(rows):
