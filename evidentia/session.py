@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
     shared folder and no installation.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows may hold long texts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # rows may hold long texts
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
