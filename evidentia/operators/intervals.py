@@ -60,7 +60,10 @@ def members_at(intervals: DataFrame, days: DataFrame, key: str) -> DataFrame:
 
 
 def member_counts(intervals: DataFrame) -> DataFrame:
-    """The number of members from each day of change on, by summing entries and exits."""
+    """The number of members from each day of change on, by summing entries and exits.
+
+    Steps are summed by day first, so the ordered window holds a calendar, not the intervals.
+    """
     steps = intervals.select(F.col("valid_from").alias("day"), F.lit(1).alias("step")).unionByName(intervals.where("valid_to is not null").select(F.col("valid_to").alias("day"), F.lit(-1).alias("step")))
     per_day = steps.groupBy("day").agg(F.sum("step").alias("step"))
     return per_day.select("day", F.sum("step").over(Window.orderBy("day")).alias("members"))

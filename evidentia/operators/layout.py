@@ -110,12 +110,22 @@ def copy_groups(docs: DataFrame, asserted: DataFrame, fingerprints: DataFrame) -
 
 
 def shingle_hits(labels: DataFrame, texts: DataFrame, width: int = 40) -> DataFrame:
-    """(label_id, text_id) pairs that share a run of `width` characters; windows are made distinct before they meet."""
+    """(label_id, text_id) pairs that share a run of `width` characters.
+
+    Windows meet by their 64-bit hashes, made distinct within a text before the shuffle, and the
+    pairs that meet are confirmed on the windows themselves. The labels are the small side.
+    """
     from evidentia.functions.text import char_windows, dates_masked
 
-    a = labels.select("label_id", F.explode(char_windows(dates_masked(F.col("text")), width)).alias("w")).distinct()
-    b = texts.select("text_id", F.explode(char_windows(dates_masked(F.col("text")), width)).alias("w")).join(a.select("w").distinct(), "w", "left_semi").distinct()
-    return a.join(b, "w").select("label_id", "text_id").distinct()
+    def windows(rows: DataFrame, name: str) -> DataFrame:
+        found = F.array_distinct(F.transform(char_windows(dates_masked(F.col("text")), width), lambda w: F.xxhash64(w)))
+        return rows.select(name, F.explode(found).alias("h"))
+
+    a, b = windows(labels, "label_id"), windows(texts, "text_id")
+    pairs = a.join(b, "h").select("label_id", "text_id").distinct()
+    named = pairs.join(labels.select("label_id", F.col("text").alias("__l")), "label_id").join(texts.select("text_id", F.col("text").alias("__t")), "text_id")
+    shared = F.arrays_overlap(char_windows(dates_masked(F.col("__l")), width), char_windows(dates_masked(F.col("__t")), width))
+    return named.where(shared).select("label_id", "text_id")
 
 
 def aligned(left: DataFrame, right: DataFrame, doc: str = "doc_id", position: str = "position", text: str = "text") -> DataFrame:

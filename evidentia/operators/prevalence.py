@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evidentia.session import cut
+
 SLOT = ["doc_type", "speaker_role"]
 EMPTY = "empty_denominator"
 
@@ -98,10 +100,10 @@ def closure(tree: DataFrame, most: int = 64) -> DataFrame:
     if lost.limit(1).count():
         raise ValueError("a theme has a parent that is not in the tree")
     up = tree.where("parent_id is not null").select(F.col("theme_id").alias("low"), F.col("parent_id").alias("high"))
-    held = up
+    held = cut(up)
     for _ in range(most.bit_length()):
         more = held.alias("a").join(held.alias("b"), F.col("a.high") == F.col("b.low")).select("a.low", "b.high")
-        grown = held.unionByName(more).distinct()
+        grown = cut(held.unionByName(more).distinct())
         if grown.count() == held.count():
             break
         held = grown
