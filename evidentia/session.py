@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -51,3 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut by a reliable checkpoint."""
     checkpointing(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark removes them when the driver's garbage collector finds them unused, which may be long
+    after; between the large steps of an operator it is asked to look.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
