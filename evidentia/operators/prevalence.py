@@ -34,23 +34,19 @@ def positive_units(observations: DataFrame, coverage: DataFrame, views: DataFram
 
 
 def audit(coverage: DataFrame, *keys: str) -> DataFrame:
-    """Unit counts of each slot: eligible ones by what is known of them, and the reasons of what is missing."""
-    unit = F.struct("entity_id", "period_end")
-    eligible = F.col("eligibility_status") == "eligible"
+    """Unit counts of each slot: eligible ones by what is known of them, and the reasons of what is missing.
 
-    def count(condition: Column) -> Column:
-        return F.count_distinct(F.when(condition, unit))
-
-    per_unit = coverage.withColumn("__seen", F.col("observable"))
-    reasons = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("observable"), F.col("missing_reasons"))))))
-    out = per_unit.groupBy(*SLOT, *keys).agg(
-        count(eligible).alias("expected_count"),
-        count(eligible & F.col("available")).alias("available_count"),
-        count(eligible & F.col("parsed")).alias("parsed_count"),
-        count(F.col("observable")).alias("observable_count"),
-        (count(eligible) - count(eligible & F.col("observable"))).alias("excluded_count"),
-        reasons.alias("restrictions"),
-    )
+    Rows are first brought down to units, so that plain counts do for distinct ones.
+    """
+    eligible = F.col("eligibility_status") == "eligible"
+    units = coverage.groupBy(*SLOT, "entity_id", "period_end").agg(
+        F.bool_or(eligible).alias("e"), F.bool_or(eligible & F.col("available")).alias("a"), F.bool_or(eligible & F.col("parsed")).alias("p"), F.bool_or("observable").alias("o"), F.bool_or(eligible & F.col("observable")).alias("eo"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("observable"), F.col("missing_reasons"))))).alias("reasons"),
+    )
+    out = units.groupBy(*SLOT, *keys).agg(
+        F.count_if("e").alias("expected_count"), F.count_if("a").alias("available_count"), F.count_if("p").alias("parsed_count"), F.count_if("o").alias("observable_count"),
+        (F.count_if("e") - F.count_if("eo")).alias("excluded_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("restrictions"),
+    )
     return out.withColumn("missing_period_count", F.col("excluded_count"))
 
 
