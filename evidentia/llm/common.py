@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidentia.session import checkpointing, cut, ship, table  # noqa: F401  (used by the operators)
+from evidentia.session import checkpointing, cut, ship, table, tidy  # noqa: F401  (used by the operators)
 
 #: Multiplier of the polynomial hashes; odd, so that it is a unit modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)

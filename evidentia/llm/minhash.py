@@ -20,9 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from evidentia.llm.common import PIECE, byte_rows, cut, emit, mix, prefix_hash, ship, sorted_runs, span_hash, whole_runs
+from evidentia.llm.common import PIECE, byte_rows, cut, emit, mix, prefix_hash, ship, sorted_runs, span_hash, tidy, whole_runs
 from evidentia.llm.components import components
 
 WORDS = 5
@@ -35,7 +35,7 @@ LIST = 8192
 SHINGLES = 1_500_000
 
 #: Classes that frequent values are looked for in, and times that a value must occur among them at least to be called frequent.
-SAMPLE, LEAST = 200_000, 64
+SAMPLE, LEAST = 50_000, 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -284,36 +284,58 @@ def classes_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sketched, "doc_id long, text_key long, class binary, n_shingles long, signature binary")
 
 
-def near_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+def _classes(classed: DataFrame) -> DataFrame:
+    """One row per distinct set, with the row that stands for it.
 
-    Documents are linked when 100 * |intersection| >= percent * |union| of their sets of five-word
-    shingles (all words where they are fewer). Texts that are null, empty or without words have an
-    empty set and are linked with nothing. component_id is the smallest doc_id that links reach,
-    the document's own included; kept marks it. Rows with equal sets are linked, repeated rows
-    included. A row without an id is in the component of its set but does not name it, and a set
-    that only such rows have links nothing. An empty table gives no rows; other columns are ignored.
+    Classes go by a hash of their digest, since one id may stand for several where rows repeat it.
     """
-    classed = cut(classes_of(docs))
     classes = classed.where("class is not null and doc_id is not null").groupBy("class").agg(
         F.min("doc_id").alias("rep"), F.min_by("text_key", "doc_id").alias("text_key"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")
     )
-    # Classes go by a hash of their digest, since one id may stand for several where rows repeat it.
-    classes = cut(classes.withColumn("node", F.xxhash64("class")))
+    return classes.withColumn("node", F.xxhash64("class"))
+
+
+def _candidate_groups(classes: DataFrame) -> DataFrame:
+    """(node, candidates): classes whose signatures are connected by enough agreeing coordinates."""
     frequent = frequent_values(classes, classes.count())
     posted = classes.select("node", "signature").mapInArrow(_posted(frequent), "node long, posting long")
-    lists = posted.groupBy("posting").agg(F.ceil(F.count("*") / LIST).cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
-    entries = posted.join(lists, "posting").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
+    # No list is much longer than LIST but those of rows with hardly any rare value, so a window may count them.
+    entries = posted.withColumn("n", F.count("*").over(Window.partitionBy("posting"))).where("n > 1")
+    entries = entries.withColumn("tiles", F.ceil(F.col("n") / LIST).cast("int")).drop("n")
+    entries = entries.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
     entries = _met(entries.join(classes.select("node", "signature"), "node")).select("posting", "low", "high", "node", "signature")
-    groups = components(sorted_runs(entries, ["posting", "low", "high"], _candidates, "a long, b long")).select("node", F.col("component").alias("candidates"))
-    members = cut(groups.join(classes.select("node", "rep", "text_key", "n_shingles"), "node"))
+    return components(sorted_runs(entries, ["posting", "low", "high"], _candidates, "a long, b long")).select("node", F.col("component").alias("candidates"))
+
+
+def _linked(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(node, component) by links that are confirmed on the full sets of the candidates' texts."""
     sizes = members.groupBy("candidates").agg(F.ceil(F.sum("n_shingles") / SHINGLES).cast("int").alias("tiles"))
     members = members.join(sizes, "candidates").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(11)), F.col("tiles")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     told = members.select("node", "rep", "text_key", "candidates", "tile", "tiles").join(texts, "rep").where(F.xxhash64("text") == F.col("text_key")).dropDuplicates(["rep", "node"])
     sets = told.select("node", "candidates", "tile", "tiles", "text").mapInArrow(_sets, "node long, candidates long, tile int, tiles int, shingles binary")
     met = _met(sets).select("candidates", "low", "high", "node", "shingles")
-    found = components(sorted_runs(met, ["candidates", "low", "high"], _confirmed(percent), "a long, b long"))
+    return components(sorted_runs(met, ["candidates", "low", "high"], _confirmed(percent), "a long, b long"))
+
+
+def near_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row.
+
+    Documents are linked when 100 * |intersection| >= percent * |union| of their sets of five-word
+    shingles (all words where they are fewer). Texts that are null, empty or without words have an
+    empty set and are linked with nothing. component_id is the smallest doc_id that links reach,
+    the document's own included; kept marks it. Rows with equal sets are linked, repeated rows
+    included. A row without an id is in the component of its set but does not name it, and a set
+    that only such rows have links nothing. An empty table gives no rows; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    classed = cut(classes_of(docs))
+    classes = cut(_classes(classed))
+    tidy(spark)
+    members = cut(_candidate_groups(classes).join(classes.select("node", "rep", "text_key", "n_shingles"), "node"))
+    tidy(spark)
+    found = _linked(docs, members, percent)
+    tidy(spark)
     named = found.join(classes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = classes.select("node", "class", "rep").join(found, "node", "left").join(least, "component", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from evidentia.llm.common import PIECE, byte_rows, emit, prefix_hash, ship, sorted_runs, span_hash, whole_runs, written
+from evidentia.llm.common import PIECE, byte_rows, emit, prefix_hash, ship, sorted_runs, span_hash, tidy, whole_runs, written
 
 SPAN, GRAM = 100, 32
 #: Windows that can share an anchor.
@@ -400,6 +400,7 @@ def deduplicated(docs: DataFrame, carry: list[str] | None = None, as_text: bool
     rows = texts.select("doc_id", "rid", "text").mapInArrow(_cut, _ROWS_SQL)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     settled = written(rows.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "segment", "ord", "rid", "at").mapInArrow(_settled, _SETTLED_SQL))
+    tidy(docs.sparkSession)
     asked = settled.where("end is null").groupBy("rid").agg(F.collect_list(F.struct("key", "at", "frequent")).alias("asked"))
     fetched = texts.join(asked, "rid").select("doc_id", "rid", "text", "asked").mapInArrow(_fetched, _FETCHED_SQL)
     compared = sorted_runs(fetched, ["key", "part"], _compared, "rid long, start long, end long", ["ord", "rid", "at"])
