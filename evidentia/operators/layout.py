@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidentia.session import cut, ship
 
+#: Rows of two longs that a side may have to be broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def laid_out(blocks: DataFrame, doc: str, position: str, text: str = "text", separator: int = 1) -> DataFrame:
     """Blocks with start and end in the text that their document's blocks make, joined by a separator of that many characters."""
@@ -122,6 +125,8 @@ def shingle_hits(labels: DataFrame, texts: DataFrame, width: int = 40) -> DataFr
         return rows.select(name, F.explode(found).alias("h"))
 
     a, b = windows(labels, "label_id"), windows(texts, "text_id")
+    if a.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # two longs a row; beyond it both sides are shuffled
+        a = F.broadcast(a)
     pairs = a.join(b, "h").select("label_id", "text_id").distinct()
     named = pairs.join(labels.select("label_id", F.col("text").alias("__l")), "label_id").join(texts.select("text_id", F.col("text").alias("__t")), "text_id")
     shared = F.arrays_overlap(char_windows(dates_masked(F.col("__l")), width), char_windows(dates_masked(F.col("__t")), width))
