@@ -19,8 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return without_near_copies(docs)
+    """One document of each group stays whose sets of five-word shingles are linked by similarities of 0.8 or more."""
+    return without_near_copies(docs, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Documents with the same set of word shingles form a class; one of each class goes on. A class's
 MinHash signature is posted under the (coordinate, value) pairs of a prefix of its coordinates:
-two signatures that agree in at least MATCHES of COORDINATES must share one of the first
-COORDINATES - MATCHES + 1. Values that very many classes have, such as those of a common passage,
+two signatures that agree in at least m of COORDINATES must share one of the first
+COORDINATES - m + 1, where m follows from the similarity asked for (see `agreeing`). Values that very many classes have, such as those of a common passage,
 are left out of the count: the same holds for the first as many others. Inside a posting list, classes that cannot collect enough collisions
 with the others at all are skipped; the rest are merged from one to the next, counting the
 collisions, and those above the threshold are joined by the edges of a spanning forest.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,19 @@ from evidentia.llm.common import PIECE, byte_rows, cut, emit, mix, prefix_hash,
 from evidentia.llm.components import components
 
 WORDS = 5
-#: Coordinates of a signature and the agreeing ones that a candidate needs: at a similarity of 0.85 fewer agree once in 100,000 pairs.
-COORDINATES, MATCHES = 64, 41
-PREFIX = COORDINATES - MATCHES + 1
+#: Coordinates of a signature, and the share of pairs at the asked similarity that may agree in too few of them to be candidates.
+COORDINATES, MISSED = 64, 1e-5
+
+
+def agreeing(percent: int) -> int:
+    """Agreeing coordinates that a candidate needs: the most that pairs at `percent` miss in at most MISSED of cases; 41 at 85, 36 at 80."""
+    s, below, m = percent / 100, 0.0, 0
+    while m < COORDINATES and (below := below + comb(COORDINATES, m) * s**m * (1 - s) ** (COORDINATES - m)) <= MISSED:
+        m += 1
+    return max(1, m)
+
+
+MATCHES = agreeing(85)
 #: Entries of a posting list that one task compares; longer lists are dealt into tiles that meet in pairs.
 LIST = 8192
 #: Shingles of candidates that one task compares; larger groups are dealt into tiles that meet in pairs.
@@ -114,10 +125,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = upto
 
 
-def connected(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, j) of a spanning forest of the rows that agree in at least MATCHES coordinates.
+def connected(signatures: np.ndarray, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) of a spanning forest of the rows that agree in at least `matches` coordinates.
 
-    A row that shares fewer than MATCHES of its coordinates with any other row at all is skipped
+    A row that shares fewer than `matches` of its coordinates with any other row at all is skipped
     first. The others are visited from neighbour to neighbour, and a row once reached is not
     compared with later ones.
     """
@@ -127,7 +138,7 @@ def connected(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for k in range(COORDINATES):
             _, inverse, counts = np.unique(signatures[alive, k], return_inverse=True, return_counts=True)
             shared += counts[inverse] > 1
-        keep = shared >= MATCHES
+        keep = shared >= matches
         if keep.all():
             break
         alive = alive[keep]
@@ -137,7 +148,7 @@ def connected(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             node = queue.pop()
-            hits = (signatures[rest] == signatures[node]).sum(1) >= MATCHES
+            hits = (signatures[rest] == signatures[node]).sum(1) >= matches
             if hits.any():
                 new = rest[hits].tolist()
                 a += [node] * len(new)
@@ -152,23 +163,24 @@ def posting_hashes(signatures: np.ndarray) -> np.ndarray:
     return mix(signatures.astype(np.uint64) | (np.arange(1, COORDINATES + 1, dtype=np.uint64) << np.uint64(32)))
 
 
-def postings(signatures: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def postings(signatures: np.ndarray, frequent: np.ndarray, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray]:
     """(row, posting) under which signatures are found, for a set of frequent hashes.
 
-    Whatever that set is, two rows that agree in MATCHES coordinates share a posting. If f of a
-    row's coordinates are frequent, agreeing rows share MATCHES - f others at least, so the first
-    of these is among the row's first PREFIX others. Rows with f >= MATCHES may share frequent
-    values alone: they also go under the frequent ones of their first PREFIX coordinates, in
-    lists of their own.
+    Whatever that set is, two rows that agree in `matches` coordinates share a posting. If f of a
+    row's coordinates are frequent, agreeing rows share matches - f others at least, so the first
+    of these is among the row's first COORDINATES - matches + 1 others, the prefix. Rows with
+    f >= matches may share frequent values alone: they also go under the frequent ones of their
+    prefix of all coordinates, in lists of their own.
     """
+    prefix = COORDINATES - matches + 1
     hashes = posting_hashes(signatures)
     often = np.isin(hashes, frequent) if len(frequent) else np.zeros(hashes.shape, bool)
-    taken = ~often & (np.cumsum(~often, axis=1) <= PREFIX)
+    taken = ~often & (np.cumsum(~often, axis=1) <= prefix)
     row, column = np.nonzero(taken)
     found = hashes[row, column]
-    dense = np.flatnonzero(often.sum(1) >= MATCHES)
+    dense = np.flatnonzero(often.sum(1) >= matches)
     if len(dense):
-        r, c = np.nonzero(often[dense, :PREFIX])
+        r, c = np.nonzero(often[dense, :prefix])
         row, found = np.concatenate([row, dense[r]]), np.concatenate([found, mix(hashes[dense[r], c] ^ np.uint64(0x5DEECE66D))])
     return row, found
 
@@ -177,10 +189,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
-def _posted(frequent: np.ndarray):
+def _posted(frequent: np.ndarray, matches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, found = postings(_matrix(batch.column("signature")), frequent)
+            row, found = postings(_matrix(batch.column("signature")), frequent, matches)
             yield from emit(_POSTED, [batch.column("node").to_numpy()[row], found.view(np.int64)])
 
     return run
@@ -204,20 +216,24 @@ _POSTED = pa.schema([("node", pa.int64()), ("posting", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(matches: int):
     """Edges between the classes of each posting list that agree often enough."""
-    for table, starts in whole_runs(batches, ["posting", "low", "high"]):
-        node = table.column("node").to_numpy()
-        found = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(node), COORDINATES)
-        ends = np.append(starts[1:], len(node))
-        two = starts[ends - starts == 2]
-        hit = two[(found[two] == found[two + 1]).sum(1) >= MATCHES]
-        a, b = [node[hit]], [node[hit + 1]]
-        for i, j in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-            u, v = connected(found[i:j])
-            a.append(node[i:j][u])
-            b.append(node[i:j][v])
-        yield from emit(_EDGES, [np.concatenate(a), np.concatenate(b)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_runs(batches, ["posting", "low", "high"]):
+            node = table.column("node").to_numpy()
+            found = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(node), COORDINATES)
+            ends = np.append(starts[1:], len(node))
+            two = starts[ends - starts == 2]
+            hit = two[(found[two] == found[two + 1]).sum(1) >= matches]
+            a, b = [node[hit]], [node[hit + 1]]
+            for i, j in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+                u, v = connected(found[i:j], matches)
+                a.append(node[i:j][u])
+                b.append(node[i:j][v])
+            yield from emit(_EDGES, [np.concatenate(a), np.concatenate(b)])
+
+    return run
 
 
 def alike(rep: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -295,16 +311,16 @@ def _classes(classed: DataFrame) -> DataFrame:
     return classes.withColumn("node", F.xxhash64("class"))
 
 
-def _candidate_groups(classes: DataFrame) -> DataFrame:
+def _candidate_groups(classes: DataFrame, matches: int) -> DataFrame:
     """(node, candidates): classes whose signatures are connected by enough agreeing coordinates."""
     frequent = frequent_values(classes, classes.count())
-    posted = classes.select("node", "signature").mapInArrow(_posted(frequent), "node long, posting long")
+    posted = classes.select("node", "signature").mapInArrow(_posted(frequent, matches), "node long, posting long")
     # No list is much longer than LIST but those of rows with hardly any rare value, so a window may count them.
     entries = posted.withColumn("n", F.count("*").over(Window.partitionBy("posting"))).where("n > 1")
     entries = entries.withColumn("tiles", F.ceil(F.col("n") / LIST).cast("int")).drop("n")
     entries = entries.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
     entries = _met(entries.join(classes.select("node", "signature"), "node")).select("posting", "low", "high", "node", "signature")
-    return components(sorted_runs(entries, ["posting", "low", "high"], _candidates, "a long, b long")).select("node", F.col("component").alias("candidates"))
+    return components(sorted_runs(entries, ["posting", "low", "high"], _candidates(matches), "a long, b long")).select("node", F.col("component").alias("candidates"))
 
 
 def _linked(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -322,7 +338,8 @@ def near_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of five-word
-    shingles (all words where they are fewer). Texts that are null, empty or without words have an
+    shingles (all words where they are fewer); a pair at exactly that similarity is missed in at
+    most MISSED of cases (see `agreeing`), a closer one more rarely. Texts that are null, empty or without words have an
     empty set and are linked with nothing. component_id is the smallest doc_id that links reach,
     the document's own included; kept marks it. Rows with equal sets are linked, repeated rows
     included. A row without an id is in the component of its set but does not name it, and a set
@@ -332,7 +349,7 @@ def near_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     classed = cut(classes_of(docs))
     classes = cut(_classes(classed))
     tidy(spark)
-    members = cut(_candidate_groups(classes).join(classes.select("node", "rep", "text_key", "n_shingles"), "node"))
+    members = cut(_candidate_groups(classes, agreeing(percent)).join(classes.select("node", "rep", "text_key", "n_shingles"), "node"))
     tidy(spark)
     found = _linked(docs, members, percent)
     tidy(spark)

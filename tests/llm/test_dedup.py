@@ -80,6 +80,25 @@ def test_near_documents(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in want if want[i] == i}
 
 
+def test_agreeing_coordinates():
+    from evidentia.llm.minhash import agreeing
+
+    assert (agreeing(85), agreeing(80)) == (41, 36)
+
+
+def test_the_pipeline_links_from_80_percent_on(spark):
+    import corpus_pipeline
+
+    texts = [t for t in near_copies() if t]
+    sets = [shingle_set(t) for t in texts]
+    at = lambda p: joined([(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= p * len(sets[i] | sets[j])], range(len(texts)))
+    want, before = at(80), at(85)
+    assert want != before
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {i for i in want if want[i] == i}
+
+
 def test_near_documents_edges(spark):
     rows = [(1, "a b c"), (2, "A b C"), (None, "a b c"), (8, "x y z w v"), (8, "x y z w v"), (9, "q"), (9, "x y z w v"), (None, None), (None, "alone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
