@@ -14,7 +14,7 @@ from evidentia.session import ship, table
 
 def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int"))
-    reports = table(spark, sf_dir, "orders").where("o_custkey <= 150").select(F.col("o_custkey").alias("issuer_id"), day.alias("period_end"), F.col("o_orderdate").alias("filed_at"), F.col("o_orderkey").alias("accession"), F.lit(False).alias("amended"))
+    reports = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("issuer_id"), day.alias("period_end"), F.col("o_orderdate").alias("filed_at"), F.col("o_orderkey").alias("accession"), F.lit(False).alias("amended"))
     return R.slots(reports).withColumn("event_id", F.col("accession"))
 
 
