@@ -160,7 +160,7 @@ def char_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crossing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.crossings(_order_spans(spark, sf_dir).where("o_custkey % 5 = 0"), ["o_custkey"], name="o_orderkey").select("o_custkey", "a_id", "b_id")
+    return X.crossings(_order_spans(spark, sf_dir), ["o_custkey"], name="o_orderkey").select("o_custkey", "a_id", "b_id")
 
 
 def pairwise_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,3 +27,12 @@ def test_release_of_all_customers(spark, tmp_path):
     assert answer(spark, folder, "release_slots") == [(150, 31, "2024-01-02", None), (151, 62, "2024-01-03", None), (9000, 93, "2024-01-04", None)]
     assert answer(spark, folder, "release_candidates") == [(31, 4, "2024-01-05"), (62, 5, "2024-01-05"), (93, 7, "2024-01-05")]
     assert answer(spark, folder, "release_outcomes") == [(31, 4, "stated_period", None), (62, 5, "sole_candidate", None), (93, 7, "sole_candidate", None)]
+
+
+def test_crossing_pairs_of_all_customers(spark, tmp_path):
+    def order(key, customer, start, length):
+        return key, customer, dt.date(1992, 1, 1) + dt.timedelta(days=start), 2000.0 * (length - 1), "F"
+
+    rows = [order(10 * c + i, c, start, length) for c in range(1, 12) for i, (start, length) in enumerate([(0, 10), (5, 10), (6, 3), (9, 20), (40, 2)])]
+    folder = saved(spark, tmp_path, orders=(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderstatus string"))
+    assert answer(spark, folder, "crossing_pairs") == sorted(((c, 10 * c + a, 10 * c + b) for c in range(1, 12) for a, b in [(0, 1), (0, 3), (1, 3)]), key=repr)
