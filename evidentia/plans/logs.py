@@ -94,13 +94,13 @@ def next_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eligibility_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders judged by window, releases, cutoff and the Eastern day's membership of the user with the customer's number."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), "o_orderdate", "o_orderpriority", "o_orderstatus")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderpriority", "o_orderstatus")
     shifted = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") * 613, F.lit(30 * 86400)))
     orders = orders.withColumn("at", shifted)
-    spells = I.reconstruct(_days(spark, sf_dir).where("action <> 'ambiguous'").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("day"))).where("n = 1"), "user_id", "day").where("reason is null")
-    joined = orders.join(spells, "user_id", "left")
-    member = I.in_interval(F.col("at"), F.col("valid_from"), F.lit("before_open"), F.col("valid_to"), F.lit("before_open"))
-    events = joined.withColumn("member", F.when(F.col("valid_from").isNull(), F.lit(False)).otherwise(member))
+    spells = _spells(spark, sf_dir).groupBy("user_id").agg(F.collect_list(F.struct("valid_from", "valid_to")).alias("spells"))
+    # exists() is three-valued: null where no interval holds and one of them is open about the time.
+    member = F.exists("spells", lambda s: I.in_interval(F.col("at"), s["valid_from"], F.lit("before_open"), s["valid_to"], F.lit("before_open")))
+    events = orders.join(spells, "user_id", "left").withColumn("member", F.when(F.col("spells").isNull(), F.lit(False)).otherwise(member))
     releases = F.when(F.col("o_orderpriority").startswith("1"), 0).when(F.col("o_orderpriority").startswith("2"), 2).otherwise(1)
     events = events.withColumns({"period_end": F.to_date("o_orderdate"), "n_releases": releases, "published_at": F.when(F.col("o_orderstatus") == "P", F.lit("2030-01-01").cast("timestamp")).otherwise(F.col("at"))})
     return I.eligibility(events, ("1993-01-01", "1997-12-31"), "2029-01-01").select("o_orderkey", "eligibility_status", "eligibility_reason")
