@@ -22,8 +22,8 @@ from evidentia.llm.common import emit, ship, texts_of
 
 #: Radius and width of the smoothing over a page's nodes, and the share of the best fused score that a path needs.
 RADIUS, SIGMA, SHARE = 2, 1.0, 0.2
-#: Share of linked text from which a path is a list of links.
-LINKED = 0.5
+#: Part of that share that suffices inside an element that names the article.
+MARKED = 0.5
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -170,7 +170,10 @@ def path_scores(nodes: list[Node]) -> dict[str, float]:
             measures[i] += x
     text = _smoothed(np.array([math.log1p(paths[n.path][1] / paths[n.path][0]) for n in nodes]))
     marks = _smoothed(np.array([math.log1p(paths[n.path][2] / paths[n.path][0]) for n in nodes]))
-    fused = np.sqrt((text / max(text.max(), 1e-9)) * (marks / max(marks.max(), 1e-9)))
+    if marks.max() > 0:
+        fused = np.sqrt((text / max(text.max(), 1e-9)) * (marks / marks.max()))
+    else:  # without any punctuation on the page that series tells nothing
+        fused = text / max(text.max(), 1e-9)
     sums: dict[str, list[float]] = {}
     for node, score in zip(nodes, fused.tolist(), strict=True):
         total = sums.setdefault(node.path, [0.0, 0])
@@ -182,23 +185,14 @@ def path_scores(nodes: list[Node]) -> dict[str, float]:
 
 
 def content_nodes(page: Page) -> list[Node]:
-    """The nodes of the paths that pass the threshold.
+    """The nodes of the paths that pass the threshold, and with them the rest of their blocks.
 
-    Where the page names its article, only paths inside compete and every one that is not a list
-    of links passes. Elsewhere a heading goes with the content right behind it.
+    All paths of the page compete. Lying in an element that names the article is one signal more:
+    such paths need MARKED of the share only. A heading goes with the content right behind it.
     """
-    inside = [n for n in page.nodes if n.inside]
-    nodes = inside or page.nodes
+    nodes = page.nodes
     scores = path_scores(nodes)
-    if inside:
-        linked: dict[str, list[int]] = {}
-        for n in nodes:
-            total = linked.setdefault(n.path, [0, 0])
-            total[0] += len(n.text) if n.linked else 0
-            total[1] += len(n.text)
-        held = {n.block for n in nodes if not n.linked}
-        return [n for n in nodes if linked[n.path][0] < LINKED * linked[n.path][1] or n.block in held]
-    chosen = [scores[n.path] >= SHARE for n in nodes]
+    chosen = [scores[n.path] >= (SHARE * MARKED if n.inside else SHARE) for n in nodes]
     for i in range(len(nodes) - 2, -1, -1):
         chosen[i] = chosen[i] or (nodes[i].heading and chosen[i + 1])
     held = {n.block for n, c in zip(nodes, chosen, strict=True) if c}

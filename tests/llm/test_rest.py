@@ -115,6 +115,15 @@ def test_page_text(body, want):
     assert extract(PAGE % body) == want
 
 
+def test_page_text_by_scores_beside_and_inside_articles():
+    main = "".join(f"<p>Sentence one of {i}, which is long enough. Sentence two, of {i}, follows it; and a third.</p>" for i in range(6))
+    text = "\n\n".join(f"Sentence one of {i}, which is long enough. Sentence two, of {i}, follows it; and a third." for i in range(6))
+    assert text in extract(f"<body><div>{main}</div><article><a href=x>A teaser</a></article></body>")
+    chips = "<div class=chips>" + "<span>go</span><br>" * 12 + "</div>"
+    assert extract(f"<body><article>{main}{chips}</article></body>") == text
+    assert extract("<body><article><p>no marks at all in here</p></article></body>") == "no marks at all in here"
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE % "<article><p>x, y.</p></article>", "n"), (2, None, None, "n"), (None, "v", "", "n"), (3, "w", "<p>" + "long, text. " * 50_000, "n"), (4, "w", "<<<>>", "n"), (4, "w", "<script>", "n")]
     got = {(r["page_id"], r["url"]): (r["text"][:9], r["n_chars"]) for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
