@@ -26,6 +26,8 @@ from evidentia.llm.common import emit, ship, texts_of
 SAMPLE = 4000
 #: Characters of sampled text of each class, so that the driver's share stays bounded.
 SAMPLE_CHARS = 8_000_000
+#: Characters of the longest text that is learned from; scoring reads texts of any length.
+LONGEST = SAMPLE_CHARS // 8
 BUCKETS = 1 << 18
 BEGINNINGS = (2, 3, 4, 5, 6, 7)
 #: Documents that must hold a feature before it gets a weight.
@@ -133,11 +135,12 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
     return ToxicityModel(weights, float(bias))
 
 
-def sample(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2) -> tuple[list[str], list[int], float | None]:
+def sample(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2, longest: int = LONGEST) -> tuple[list[str], list[int], float | None]:
     """The labelled texts to learn from: those whose crc32(doc_id) mod 4 is not `spare_rest`, bounded by SAMPLE and SAMPLE_CHARS; and the share of toxic ones among all of these.
 
     Which documents are taken depends on a hash of the id alone. Rows without an id, a text or a
-    label teach nothing; a document with several labels is taken once with the largest.
+    label teach nothing; a document with several labels is taken once with the largest. Texts of
+    more than `longest` characters are left out, so that a few cannot use up SAMPLE_CHARS.
     """
     order = F.xxhash64("doc_id", F.lit(29))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -150,7 +153,7 @@ def sample(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2) -> tu
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
         taken = rows.join(F.broadcast(ids), "doc_id").select("o", "text", F.length("text").alias("n")).orderBy("o", "text").limit(SAMPLE)
         room = SAMPLE_CHARS
-        for row in taken.where(F.col("n") <= SAMPLE_CHARS // 8).toLocalIterator():
+        for row in taken.where(F.col("n") <= longest).toLocalIterator():
             if (room := room - row["n"]) < 0:
                 break
             texts.append(row["text"])

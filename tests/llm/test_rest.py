@@ -115,6 +115,15 @@ def test_page_text(body, want):
     assert extract(PAGE % body) == want
 
 
+def test_sample_leaves_out_longer_texts(spark):
+    from evidentia.llm.toxicity import sample
+
+    docs = spark.createDataFrame([(1, "short"), (2, "a longer text"), (3, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
+    assert sample(docs, labels, None, longest=5)[:2] == (["short", "bad"], [0, 1])
+    assert sorted(sample(docs, labels, None)[0]) == ["a longer text", "bad", "short"]
+
+
 def test_page_text_by_scores_beside_and_inside_articles():
     main = "".join(f"<p>Sentence one of {i}, which is long enough. Sentence two, of {i}, follows it; and a third.</p>" for i in range(6))
     text = "\n\n".join(f"Sentence one of {i}, which is long enough. Sentence two, of {i}, follows it; and a third." for i in range(6))
