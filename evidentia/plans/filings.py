@@ -100,7 +100,7 @@ def _scripted(prompt: str) -> str | None:
 
 QUERIES = {f.__name__: f for f in (release_slots, release_candidates, release_outcomes, doubly_claimed, token_join, registrant_resolution, locator_resolution, minimal_locators, extraction_replay)}
 
-_SLOTS = """r AS (SELECT o_custkey AS issuer_id, DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER) AS period_end, o_orderdate AS filed_at, o_orderkey AS event_id FROM orders WHERE o_custkey <= 150),
+_SLOTS = """r AS (SELECT o_custkey AS issuer_id, DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER) AS period_end, o_orderdate AS filed_at, o_orderkey AS event_id FROM orders),
 s AS (SELECT issuer_id, event_id, CAST(period_end AS DATE) AS period_end, CAST(lead(period_end) OVER (PARTITION BY issuer_id ORDER BY period_end) AS DATE) AS nxt FROM (SELECT *, row_number() OVER (PARTITION BY issuer_id, period_end ORDER BY filed_at, event_id) AS n FROM r) WHERE n = 1)"""
 _CANDIDATES = _SLOTS + """, f AS (SELECT user_id AS issuer_id, event_id AS accession, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'purchase'),
 c AS (SELECT s.event_id, f.accession, f.d FROM s JOIN f ON f.issuer_id = s.issuer_id AND f.d > s.period_end AND f.d <= coalesce(s.nxt, DATE '2024-01-25'))"""

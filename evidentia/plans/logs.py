@@ -235,10 +235,12 @@ SELECT issuer_id, 'entry' AS kind, strftime(a, '%Y-%m-%d') AS effective_on FROM
 SELECT entity_id, 'first_edge' AS kind, strftime(a, '%Y-%m-%d') AS first_period, strftime(b, '%Y-%m-%d') AS last_period FROM e WHERE date_diff('day', DATE '1992-01-01', a) >= 92
 UNION ALL SELECT entity_id, 'last_edge', strftime(a, '%Y-%m-%d'), strftime(b, '%Y-%m-%d') FROM e WHERE date_diff('day', b, DATE '1998-12-31') > 91""",
     "next_period": f"WITH {_PERIODS} SELECT entity_id, strftime(period_end, '%Y-%m-%d') AS period_end, strftime(lead(period_end) OVER (PARTITION BY entity_id ORDER BY periods.period_end), '%Y-%m-%d') AS next_period_end FROM periods",
-    "eligibility_cascade": f"""WITH {_DAYS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS r FROM days WHERE action <> 'ambiguous') WHERE r = 1 AND action = 'added'),
-o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, o_orderdate, o_orderpriority, o_orderstatus, to_timestamp(1704067200 + (epoch(o_orderdate)::BIGINT + o_orderkey * 613) % 2592000) AT TIME ZONE 'UTC' AS tm FROM orders),
-l AS (SELECT o.*, f.day AS valid_from, (tm AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS e FROM o LEFT JOIN f USING (user_id)),
-m AS (SELECT *, CASE WHEN valid_from IS NULL THEN false WHEN CAST(e AS DATE) < valid_from THEN false WHEN CAST(e AS DATE) > valid_from THEN true WHEN hour(e) * 60 + minute(e) >= 570 THEN true END AS member FROM l),
+    "eligibility_cascade": f"""WITH {_SPELLS},
+o AS (SELECT o_orderkey, o_custkey AS user_id, o_orderdate, o_orderpriority, o_orderstatus, to_timestamp(1704067200 + (epoch(o_orderdate)::BIGINT + o_orderkey * 613) % 2592000) AT TIME ZONE 'UTC' AS tm FROM orders),
+l AS (SELECT o.*, spells.valid_from AS a, spells.valid_to AS b, (tm AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS e FROM o LEFT JOIN spells USING (user_id)),
+t AS (SELECT *, CASE WHEN CAST(e AS DATE) < a THEN false WHEN CAST(e AS DATE) > a OR hour(e) * 60 + minute(e) >= 570 THEN true END AS entered,
+  CASE WHEN b IS NULL OR CAST(e AS DATE) < b THEN true WHEN CAST(e AS DATE) > b OR hour(e) * 60 + minute(e) >= 570 THEN false END AS staying FROM l),
+m AS (SELECT o_orderkey, o_orderdate, o_orderpriority, o_orderstatus, CASE WHEN bool_or(a IS NOT NULL AND entered AND staying) THEN true WHEN bool_or(a IS NOT NULL AND (entered AND staying) IS NULL) THEN NULL ELSE false END AS member FROM t GROUP BY ALL),
 r AS (SELECT *, CASE WHEN CAST(o_orderdate AS DATE) NOT BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' THEN 'outside_window' WHEN o_orderpriority LIKE '1%' THEN 'no_release' WHEN o_orderpriority LIKE '2%' THEN 'several_releases'
   WHEN o_orderstatus = 'P' THEN 'after_cutoff' WHEN member IS NULL THEN 'membership_unordered' WHEN NOT member THEN 'not_a_member' END AS reason FROM m)
 SELECT o_orderkey, CASE WHEN reason IS NULL THEN 'eligible' WHEN reason IN ('no_release', 'several_releases', 'membership_unordered') THEN 'ambiguous' ELSE 'ineligible' END AS eligibility_status, reason AS eligibility_reason FROM r""",
@@ -259,7 +261,7 @@ u AS (SELECT event_id, CAST(sum(cost) OVER (PARTITION BY user_id, day ORDER BY t
 SELECT *, CASE WHEN per_day_used > 40 THEN 'per_day' WHEN per_user_used > 600 THEN 'per_user' END AS over_ceiling FROM u""",
     "interval_merge": f"WITH {_ORDER_SPANS}, {_covered('c', 'true')} SELECT o_custkey, n AS covered FROM c",
     "char_jaccard": f"WITH {_ORDER_SPANS}, {_covered('f', _F)}, {_covered('o', _O)}, {_covered('j', _EITHER)} SELECT o_custkey, coalesce(f.n, 0) + coalesce(o.n, 0) - j.n AS common, j.n AS joint, round((coalesce(f.n, 0) + coalesce(o.n, 0) - j.n) / j.n, 6) AS jaccard FROM j LEFT JOIN f USING (o_custkey) LEFT JOIN o USING (o_custkey)",
-    "crossing_pairs": f"WITH {_ORDER_SPANS} SELECT x.o_custkey, x.o_orderkey AS a_id, y.o_orderkey AS b_id FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.a < y.a AND y.a < x.b AND x.b < y.b WHERE x.o_custkey % 5 = 0",
+    "crossing_pairs": f"WITH {_ORDER_SPANS} SELECT x.o_custkey, x.o_orderkey AS a_id, y.o_orderkey AS b_id FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.a < y.a AND y.a < x.b AND x.b < y.b",
     "pairwise_jaccard": """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, list(DISTINCT user_id) AS u FROM events GROUP BY ALL)
 SELECT a.event_type AS type_a, b.event_type AS type_b, count(*) AS n_days, round(avg(len(list_intersect(a.u, b.u)) / len(list_distinct(list_concat(a.u, b.u)))), 6) AS jaccard FROM e a JOIN e b ON a.day = b.day AND a.event_type < b.event_type GROUP BY ALL""",
     "json_columns": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, min(k) AS least, max(k) AS most FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY 1",
