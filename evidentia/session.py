@@ -6,6 +6,8 @@ import gc
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,26 +41,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointing(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; set an own one only where none is named."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(os.path.realpath(tempfile.mkdtemp(prefix="checkpoint")))
+def checkpointing(spark: SparkSession) -> str:
+    """The shared folder that the cluster names. Only a local master may have an own temporary one where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named or not held.isEmpty():
+        return named or held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(os.path.realpath(tempfile.mkdtemp(prefix="checkpoint")))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes an execution's shuffle files when the execution has ended; its result must be on disk by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut by a reliable checkpoint."""
     checkpointing(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_dropped(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps.
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Remove files or folders, on whatever file system they lie."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    Spark removes them when the driver's garbage collector finds them unused, which may be long
-    after; between the large steps of an operator it is asked to look.
-    """
+
+def tidy(spark: SparkSession) -> None:
+    """Ask the driver to look for shuffle files that nothing uses any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
