@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidentia.session import checkpointing, cut, ship, table, tidy  # noqa: F401  (used by the operators)
+from evidentia.session import checkpointing, cut, deleted, ship, shuffles_dropped, table  # noqa: F401  (used by the operators)
 
 #: Multiplier of the polynomial hashes; odd, so that it is a unit modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -122,11 +122,26 @@ def sorted_runs(rows: DataFrame, keys: list[str], function, schema: str, order:
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(function, schema)
 
 
+#: Folders of the tables that written() made and nothing has removed yet.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows as a table in the shared folder, which cuts the lineage; columns are compressed, unlike a checkpoint's rows."""
     spark = df.sparkSession
-    checkpointing(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{checkpointing(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    _TABLES.append(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tables() -> set[str]:
+    """The folders of all tables that are still there."""
+    return set(_TABLES)
+
+
+def forget(spark: SparkSession, paths: set[str]) -> None:
+    """Remove tables whose rows are in another one by now."""
+    deleted(spark, sorted(paths))
+    _TABLES[:] = [t for t in _TABLES if t not in paths]

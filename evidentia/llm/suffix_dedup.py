@@ -2,19 +2,28 @@
 
 A byte goes if a string of SPAN bytes covers it that also starts earlier: in a document of a
 smaller id, or earlier in its own. Suffixes are compared to the depth of SPAN, so a suffix is
-the window of SPAN bytes that starts with it.
+the window of SPAN bytes that starts with it, and comparisons are of bytes throughout.
+
+A SuffixFamily holds a store of bytes and levels of suffix arrays, positions in the store in the
+order of their windows. A new batch of texts gets an array of its own, in which equal neighbours
+are repeats; it is merge-scanned against each level for windows that were there before; what is
+left joins the family as a level, and levels of one size class merge.
 
 The work is divided by content. Each window has an anchor: the leftmost of its grams of GRAM
 bytes with the least hash, which depends on the window's bytes alone. Equal windows have equal
 anchors, so all suffixes with one anchor hash meet in one place and nowhere else. The windows of
-one anchor are neighbours and form a segment; segments with equal bytes are settled at once,
-since all but the earliest go. Only the earliest of unequal segments with one anchor hash have
-to be compared by suffixes. There the logarithmic family works: segments come in batches in the
-order of documents, each batch gets a suffix array, is merge-scanned against the existing levels
-for full-length matches, and joins them as a level; levels of one size class merge.
-
-An anchor hash that very many unequal segments share, such as that of a short line in a third of
-all documents, is dealt into many parts in both steps, the second time by single windows.
+one anchor are neighbours and form a segment. A segment whose anchor hash occurs nowhere else
+can hold no repeat, so it never leaves its text. The others' bytes are fetched; each Arrow batch
+of texts is a batch of a family, and only what is new in it goes on, to the family of its anchor
+hashes, where all batches meet in the order of documents.
+
+Anchor hashes that very many documents have, such as that of a short line in a third of them,
+are looked for in a sample; their segments go on as single windows, dealt by a hash of their
+bytes, so that no task gets all of them. The sample decides where a window is compared, never
+whether or how.
+
+A RepeatFamily keeps its texts and its anchored positions as tables in the shared folder, so
+that batches of documents can be added one after the other.
 """
 
 from __future__ import annotations
@@ -25,26 +34,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm.common import PIECE, byte_rows, emit, prefix_hash, ship, sorted_runs, span_hash, tidy, whole_runs, written
+from evidentia.llm.common import PIECE, byte_rows, emit, prefix_hash, ship, span_hash, written
 
 SPAN, GRAM = 100, 32
 #: Windows that can share an anchor.
 _SHARE = SPAN - GRAM + 1
 _LOW = np.uint64((1 << 23) - 1)
-#: Segments of one anchor hash that are compared with all their suffixes at once; more are taken by their suffixes' distance to the anchor.
-MANY = 4096
-#: Segments in a batch of the family.
-BATCH = 512
-
-#: Unequal segments with one anchor hash in a batch of documents from which on the hash is a frequent one, and parts that its segments are dealt into.
-FREQUENT, SALTS = 16, 64
-#: Marks in `at`: a span to remove, and the notice that an anchor hash is frequent, which sorts before all its segments.
-_IS_SPAN, _IS_NOTICE, _FIRST = 0, 127, -(2**63)
+#: Windows in a batch of a family, and windows from which on a family is closed at the next anchor hash.
+BATCH, FAMILY = 1 << 16, 1 << 18
+#: Documents that frequent anchor hashes are looked for in at most, times that one must occur among them, and hashes that are kept at most.
+SAMPLE, LEAST, HELD = 20_000, 32, 100_000
+#: Bits of a row number that tell the batch of documents.
+TURN = 53
 
-_ROWS = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("segment", pa.int64()), ("ord", pa.int64()), ("rid", pa.int64()), ("at", pa.int64())])
-_ROWS_SQL = "key long, salt long, segment long, ord long, rid long, at long"
+_ROWS = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("at", pa.int64())])
+_ROWS_SQL = "key long, rid long, at long"
 
 
 def _least_before(x: np.ndarray, width: int) -> np.ndarray:
@@ -57,11 +63,11 @@ def _least_before(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, key, digest) of the segments of texts that lie side by side and end at `ends`; at most PIECE bytes."""
+def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, key) of the segments of texts that lie side by side and end at `ends`; at most PIECE bytes."""
     none = np.zeros(0, np.int64)
     if len(data) < SPAN:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64)
     prefix = prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
     grams = span_hash(prefix, at, at + GRAM)
@@ -74,9 +80,7 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(new)
     counts = np.diff(np.append(starts, len(anchor)))
     starts, counts = starts[inside[starts]], counts[inside[starts]]
-    digest = span_hash(prefix, starts, starts + counts - 1 + SPAN)
-    # The distance to the anchor takes part, so that equal digests hold equal windows in equal places.
-    return starts, counts, grams[anchor[starts]], digest ^ (anchor[starts] - starts).astype(np.uint64)
+    return starts, counts, grams[anchor[starts]]
 
 
 def _pieces(rows: list, most: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
@@ -104,43 +108,48 @@ def ordinals(doc_id: pa.Array) -> np.ndarray:
     return pc.fill_null(doc_id, 2**63 - 1).to_numpy(zero_copy_only=False)
 
 
+def _segmented(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, windows, key) of the segments of the texts of an Arrow column."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]]
+    for piece in _pieces(byte_rows(texts), PIECE):
+        lengths = np.array([len(d) for _, _, d in piece])
+        ends = np.cumsum(lengths)
+        start, count, key = segments(np.concatenate([d for _, _, d in piece]), ends)
+        owner = np.searchsorted(ends, start, side="right")
+        offset = np.array([a for _, a, _ in piece])[owner] - (ends - lengths)[owner]
+        for column, values in zip(parts, (np.array([n for n, _, _ in piece])[owner], start + offset, count, key), strict=True):
+            column.append(values)
+    return tuple(map(np.concatenate, parts))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments as rows; of equal segments in a batch only the earliest, for the others their spans.
+    """Segments as rows; `at` is start * 256 + windows * 2 + whether the batch has the key several times.
 
-    `at` is start * 128 + windows. A row without windows is a span to remove: `segment` is its end.
+    The first segment of a key in a batch speaks for it. The others are asked for in any case, so
+    their `at` is inverted and they need not meet.
     """
     for batch in batches:
-        order, rid = ordinals(batch.column("doc_id")), batch.column("rid").to_numpy()
-        parts: list[list[np.ndarray]] = [[], [], [], [], []]
-        for piece in _pieces(byte_rows(batch.column("text")), PIECE):
-            lengths = np.array([len(d) for _, _, d in piece])
-            ends = np.cumsum(lengths)
-            start, count, key, digest = segments(np.concatenate([d for _, _, d in piece]), ends)
-            owner = np.searchsorted(ends, start, side="right")
-            row = np.array([n for n, _, _ in piece])[owner]
-            offset = np.array([a for _, a, _ in piece])[owner] - (ends - lengths)[owner]
-            for column, values in zip(parts, (key, digest, row, start + offset, count), strict=True):
-                column.append(values)
-        if not parts[0]:
-            continue
-        key, digest, row, start, count = map(np.concatenate, parts)
-        sort = np.lexsort((start, rid[row], order[row], digest, key))
-        key, digest, row, start, count = (x[sort] for x in (key, digest, row, start, count))
-        again = np.zeros(len(key), bool)
-        again[1:] = (key[1:] == key[:-1]) & (digest[1:] == digest[:-1])
-        first = ~again
-        if again.any():
-            r, a, b = merged(row[again], start[again], start[again] + count[again] - 1 + SPAN)
-            yield from emit(_ROWS, [rid[r], np.zeros(len(r), np.int64), b, order[r], rid[r], a * 128 + _IS_SPAN])
-        key, digest, row, start, count = (x[first] for x in (key, digest, row, start, count))
-        names, code, held = np.unique(key, return_inverse=True, return_counts=True)
-        frequent = (held > FREQUENT)[code]
-        salt = np.where(frequent, 1 + (digest % np.uint64(SALTS)).astype(np.int64), 0)
-        yield from emit(_ROWS, [key.view(np.int64), salt, digest.view(np.int64), order[row], rid[row], start * 128 + count])
-        if frequent.any():
-            notice = names[held > FREQUENT].view(np.int64)
-            zero = np.zeros(len(notice), np.int64)
-            yield from emit(_ROWS, [notice, zero, zero + _FIRST, zero, zero, zero + _IS_NOTICE])
+        row, start, count, key = _segmented(batch.column("text"))
+        sort = np.argsort(key, kind="stable")
+        key, row, at = key[sort], row[sort], (start * 256 + count * 2)[sort]
+        again = np.append(False, key[1:] == key[:-1])[: len(key)]
+        several = np.append(again[1:], False)[: len(key)] & ~again
+        yield from emit(_ROWS, [key.view(np.int64), batch.column("rid").to_numpy()[row], np.where(again, ~at, at | several)])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, n = np.unique(_segmented(batch.column("text"))[3], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+
+def frequent_anchors(texts: DataFrame) -> np.ndarray:
+    """Anchor hashes that occur LEAST times or more in about SAMPLE of the texts, the HELD most frequent at most, sorted."""
+    share = SAMPLE / max(1, texts.count())
+    sampled = texts if share >= 1 else texts.where(F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
+    counts = sampled.select("text").mapInArrow(_anchors, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "key").limit(HELD).select("key").collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64))
 
 
 def merged(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,197 +169,206 @@ def merged(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return group[first], start[first], reach[last] - lift[last]
 
 
-_SETTLED = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("end", pa.int64()), ("frequent", pa.bool_())])
-_SETTLED_SQL = "key long, ord long, rid long, at long, end long, frequent boolean"
+def _asked(oldest: int):
+    """Of rows that are sorted by key and falling rid: those of keys that occur again and that a row from `oldest` on has.
 
+    What is carried from batch to batch is one row.
+    """
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the segments that equal an earlier one, and the earliest segments where an anchor hash has several.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waiting, open_asked = None, None, False
+        for batch in batches:
+            key, rid, at = (batch.column(c).to_numpy() for c in _ROWS.names)
+            known = at < 0
+            if known.any():
+                yield from emit(_ROWS, [key[known], rid[known], ~at[known]])
+                key, rid, at = key[~known], rid[~known], at[~known]
+            if not len(key):
+                continue
+            new = np.append(True, key[1:] != key[:-1])
+            new[0] = key[0] != last
+            group = np.cumsum(new)  # 0: goes on with the key of the batch before
+            n = int(group[-1]) + 1
+            first = np.flatnonzero(new)
+            asked = np.zeros(n, bool)
+            asked[1:] = (rid[first] >= oldest) & ((np.bincount(group, minlength=n)[1:] > 1) | (at[first] & 1 > 0))
+            if not new[0]:
+                if waiting:
+                    yield from emit(_ROWS, [[x] for x in waiting])
+                asked[0] = open_asked or waiting is not None
+            taken = asked[group]
+            if taken.any():
+                yield from emit(_ROWS, [key[taken], rid[taken], at[taken]])
+            open_asked, waiting, last = bool(asked[-1]), None, key[-1]
+            if n > 1 and not open_asked and rid[first[-1]] >= oldest:
+                waiting = int(key[-1]), int(rid[-1]), int(at[-1])
 
-    The rows come sorted by key, salt, segment, document and place. Spans have an `end`; the others
-    wait for their suffixes' comparison. The segments of a frequent hash lie under several salts
-    and some, from batches where it was not frequent, under none; all of them wait. What is
-    carried from batch to batch is one row.
-    """
-    last = (None, None, None)
-    waiting, several, often = None, False, False
-    for batch in batches:
-        key, salt, segment, order, rid, at = (batch.column(c).to_numpy() for c in _ROWS.names)
-        span = at % 128 == _IS_SPAN
-        if span.any():
-            yield from emit(_SETTLED, [key[span], order[span], rid[span], at[span] // 128, segment[span], np.zeros(int(span.sum()), bool)])
-            key, salt, segment, order, rid, at = (x[~span] for x in (key, salt, segment, order, rid, at))
-        if not len(key):
-            continue
-        notice = at % 128 == _IS_NOTICE
-        new_key = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
-        new = new_key | np.append(True, segment[1:] != segment[:-1])
-        new_key[0] = (key[0], salt[0]) != last[:2]
-        new[0] = new_key[0] or segment[0] != last[2]
-        repeats = ~new & ~notice
-        if repeats.any():
-            start = at[repeats] // 128
-            yield from emit(_SETTLED, [key[repeats], order[repeats], rid[repeats], start, start + at[repeats] % 128 - 1 + SPAN, np.zeros(len(start), bool)])
-        run = np.cumsum(new_key)  # 0: goes on with the key of the batch before
-        owners = np.bincount(run[new], minlength=run[-1] + 1)
-        frequent = np.bincount(run[notice | (salt > 0)], minlength=run[-1] + 1) > 0
-        many = (owners > 1) | frequent
-        if not new_key[0]:
-            frequent[0] |= often
-            if not several and owners[0] and waiting is not None:
-                yield from emit(_SETTLED, [*[[x] for x in waiting], pa.array([None], pa.int64()), [bool(frequent[0])]])
-            several = many[0] = several or bool(owners[0])
-        taken = new & ~notice & many[run]
-        if taken.any():
-            yield from emit(_SETTLED, [key[taken], order[taken], rid[taken], at[taken], pa.nulls(int(taken.sum()), pa.int64()), frequent[run[taken]]])
-        if run[-1] > 0:
-            several, i = bool(many[run[-1]]), int(np.flatnonzero(new & (run == run[-1]))[0])
-            waiting = None if notice[i] else (int(key[i]), int(order[i]), int(rid[i]), int(at[i]))
-        often = bool(frequent[run[-1]])
-        last = (key[-1], salt[-1], segment[-1])
+    return run
 
 
 class SuffixFamily:
-    """Levels of sorted distinct suffixes of the texts so far, their sizes in different classes of powers of two."""
+    """A store of bytes and levels of suffix arrays over it, their sizes in different classes of powers of two."""
 
-    def __init__(self):
+    def __init__(self, span: int = SPAN):
+        self.span, self.store, self.used = span, np.zeros(1 << 16, np.uint8), 0
         self.levels: list[np.ndarray] = []
 
-    def add(self, suffixes: np.ndarray) -> np.ndarray:
-        """Whether each suffix of a batch, in the order of documents, was there before it; the batch joins the family."""
-        sort = np.argsort(suffixes, kind="stable")
-        array = suffixes[sort]
-        again = np.zeros(len(array), bool)
-        again[1:] = array[1:] == array[:-1]
+    def __len__(self) -> int:
+        return sum(map(len, self.levels))
+
+    def windows(self, places: np.ndarray) -> np.ndarray:
+        """The windows at places of the store, ordered like their bytes."""
+        view = np.lib.stride_tricks.sliding_window_view(self.store, self.span)
+        return view[places].view(f"S{self.span}").ravel()
+
+    def _stored(self, texts: list[bytes]) -> np.ndarray:
+        """Where each text begins in the store, after they have been put there."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        while self.used + len(data) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        self.store[self.used : self.used + len(data)] = data
+        begins = self.used + np.cumsum([0, *map(len, texts)])[:-1]
+        self.used += len(data)
+        return begins
+
+    @staticmethod
+    def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The order that merges two sorted arrays, of equal windows those of the first ahead."""
+        return np.argsort(np.concatenate([a, b]), kind="stable")  # two runs: one merge
+
+    def add(self, texts: list[bytes]) -> np.ndarray:
+        """Whether each window of each text of a batch, in the order of documents, was there before it; the batch joins the family.
+
+        The store takes equal texts of a batch once: of these all windows but the first's are repeats.
+        """
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
+        lengths = np.array([len(t) - self.span + 1 for t in number], np.int64)
+        ends = np.cumsum(lengths)
+        places = np.arange(int(ends[-1])) + np.repeat(self._stored(list(number)) - (ends - lengths), lengths)
+        windows = self.windows(places)
+        order = np.argsort(windows, kind="stable")
+        array = windows[order]
+        again = np.append(False, array[1:] == array[:-1])
+        order, array, found = order[~again], array[~again], np.ones(len(places), bool)
         for level in self.levels:
-            place = np.minimum(np.searchsorted(level, array), len(level) - 1)
-            again |= level[place] == array
-        found = np.empty(len(array), bool)
-        found[sort] = again
-        fresh = array[~again]
+            held = self.windows(level)
+            merge = self._merged(held, array)
+            both = np.concatenate([held, array])[merge]
+            met = merge[1:][both[1:] == both[:-1]] - len(held)  # a level's windows differ, so these are the batch's
+            order, array = np.delete(order, met), np.delete(array, met)
+        found[order] = False
+        fresh = places[order]
+        while len(fresh) and self.levels and len(self.levels[-1]).bit_length() <= len(fresh).bit_length():
+            level = self.levels.pop()
+            held, array = self.windows(level), self.windows(fresh)
+            fresh = np.concatenate([level, fresh])[self._merged(held, array)]
         if len(fresh):
-            while self.levels and len(self.levels[-1]).bit_length() <= len(fresh).bit_length():
-                fresh = np.sort(np.concatenate([self.levels.pop(), fresh]), kind="stable")
             self.levels.append(fresh)
-        return found
+        out = np.ones(int((lengths[which]).sum()), bool)
+        firsts = np.append(True, np.maximum.accumulate(which)[1:] > np.maximum.accumulate(which)[:-1])
+        out[np.repeat(firsts, lengths[which])] = found
+        return out
 
 
-def _windows(data: bytes, count: int) -> np.ndarray:
-    """The first `count` windows of a segment's bytes, ordered like their bytes."""
-    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), SPAN)[:count]
-    return np.ascontiguousarray(view).view(f"S{SPAN}").ravel()
+def _compared_batch(family: SuffixFamily, texts: list[bytes]) -> np.ndarray:
+    """The family's answer for texts of any number of windows, BATCH of them at a time."""
+    sizes = np.cumsum([len(t) - SPAN + 1 for t in texts])
+    edges = np.unique([0, *(np.searchsorted(sizes, np.arange(BATCH, int(sizes[-1]) + BATCH, BATCH), side="right")).tolist(), len(texts)])
+    return np.concatenate([family.add(texts[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the suffixes that a family of segments with equal anchor hashes held before."""
-    for table, starts in whole_runs(batches, ["key", "part"]):
-        alone = table.column("data").is_null().to_numpy(zero_copy_only=False)
-        if alone.any():  # single windows of frequent hashes come sorted: all but the first of a run were there before
-            first = np.zeros(len(alone), bool)
-            first[starts] = True
-            rid, at = table.column("rid").to_numpy(), table.column("at").to_numpy() // 128
-            span = alone & (table.column("at").to_numpy() % 128 == _IS_SPAN)
-            again = alone & ~first & ~span
-            rows = np.concatenate([rid[again], rid[span]]), np.concatenate([at[again], at[span]]), np.concatenate([at[again] + SPAN, table.column("anchor").to_numpy()[span]])
-            yield from emit(_SPANS, merged(*rows))
-            table = table.filter(pa.array(~alone))
-            kept = ~alone
-            place = np.cumsum(kept) - 1
-            starts = place[np.flatnonzero(kept & first)]
-            if not table.num_rows:
-                continue
-        counts = table.column("at").to_numpy() % 128
-        begin = table.column("at").to_numpy() // 128
-        rid, anchor = table.column("rid").to_numpy(), table.column("anchor").to_numpy()
-        data = table.column("data")
-        sort = np.lexsort((begin, rid, table.column("ord").to_numpy()))
-        sizes = np.diff(np.append(starts, len(rid)))
-        large = np.repeat(sizes > MANY, sizes)
-        marks: list[list[np.ndarray]] = [[], []]
-
-        def batch_of(rows: np.ndarray, family: SuffixFamily) -> None:
-            raw = data.take(pa.array(rows)).to_pylist()
-            windows = np.concatenate([_windows(x, c) for x, c in zip(raw, counts[rows].tolist(), strict=True)])
-            hit = family.add(windows)
-            n = counts[rows]
-            row = np.repeat(rows, n)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + begin[row]
-            marks[0].append(row[hit])
-            marks[1].append(place[hit])
-
-        few = sort[~large[sort]]
-        family = SuffixFamily()
-        for at in range(0, len(few), BATCH):
-            batch_of(few[at : at + BATCH], family)
-        for i in np.flatnonzero(sizes > MANY).tolist():
-            own = sort[(sort >= starts[i]) & (sort < starts[i] + sizes[i])]
-            for distance in range(_SHARE):  # equal windows lie equally far before their anchor
-                offset = anchor[own] - distance - begin[own]
-                held = (offset >= 0) & (offset < counts[own])
-                rows, where = own[held], offset[held]
-                family = SuffixFamily()
-                for at in range(0, len(rows), 8 * BATCH):
-                    part, o = rows[at : at + 8 * BATCH], where[at : at + 8 * BATCH]
-                    windows = np.array([x[p : p + SPAN] for x, p in zip(data.take(pa.array(part)).to_pylist(), o.tolist(), strict=True)], f"S{SPAN}")
-                    hit = family.add(windows)
-                    marks[0].append(part[hit])
-                    marks[1].append((begin[part] + o)[hit])
-        row, place = (np.concatenate(m) if m else np.zeros(0, np.int64) for m in marks)
-        if len(row):
-            r, a, b = merged(rid[row], place, place + SPAN)
-            yield from emit(_SPANS, [r, a, b])
+_SPANS = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_FETCHED = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("ord", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("data", pa.binary())])
+_FETCHED_SQL = "key long, part long, ord long, rid long, start long, end long, data binary"
 
 
-_SPANS = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+def _fetched(frequent: np.ndarray):
+    """What is new in each batch of texts among their asked segments, as bytes; and the spans of what is not.
+
+    Segments of frequent anchor hashes go on as single windows. A row with an `end` is a span.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders, rids, texts = ordinals(batch.column("doc_id")), batch.column("rid").to_numpy(), byte_rows(batch.column("text"))
+            asks = batch.column("asked")
+            first = asks.offsets.to_numpy() - asks.offsets[0].as_py()
+            keys, ats = (asks.flatten().field(n).to_numpy() for n in ("key", "at"))
+            row = np.repeat(np.arange(len(rids)), np.diff(first))
+            begin, count = ats >> 8, (ats & 255) >> 1
+            sort = np.lexsort((begin, rids[row], orders[row], rids[row] >> TURN))
+            keys, row, begin, count = keys[sort], row[sort], begin[sort], count[sort]
+            family, ends = SuffixFamily(), np.cumsum(count)
+            for a, b in _chunks(ends, FAMILY):
+                data = [bytes(texts[r][s : s + c - 1 + SPAN]) for r, s, c in zip(row[a:b].tolist(), begin[a:b].tolist(), count[a:b].tolist(), strict=True)]
+                if len(family) > FAMILY:
+                    family = SuffixFamily()
+                found = _compared_batch(family, data)
+                owner = np.repeat(np.arange(a, b), count[a:b])
+                place = np.arange(len(owner)) - np.repeat(ends[a:b] - count[a:b] - (ends[a] - count[a]), count[a:b]) + begin[owner]
+                if found.any():
+                    r, s, e = merged(row[owner[found]], place[found], place[found] + SPAN)
+                    yield from emit(_FETCHED, [rids[r], np.zeros(len(r), np.int64), orders[r], rids[r], s, e, pa.nulls(len(r), pa.binary())])
+                owner, place = owner[~found], place[~found]
+                often = np.isin(keys[owner], frequent)
+                new = np.append(True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | often[1:])[: len(owner)]
+                start = np.flatnonzero(new)
+                stop = np.append(start[1:], len(owner))[: len(start)]
+                owner, often, s, n = owner[start], often[start], place[start], stop - start
+                data = [bytes(texts[r][x : x + c - 1 + SPAN]) for r, x, c in zip(row[owner].tolist(), s.tolist(), n.tolist(), strict=True)]
+                part = np.array([int.from_bytes(hashlib.blake2b(d, digest_size=8).digest(), "little", signed=True) if o else 0 for d, o in zip(data, often.tolist(), strict=True)], np.int64)
+                yield from emit(_FETCHED, [keys[owner], part, orders[row[owner]], rids[row[owner]], s, pa.nulls(len(s), pa.int64()), data], 5_000)
+
+    return run
 
 
-_FETCHED = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("ord", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("data", pa.binary())])
-_FETCHED_SQL = "key long, part long, ord long, rid long, at long, anchor long, data binary"
+def _chunks(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items of about `most` in sum, from the running sums."""
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, upto
+        at = upto
 
 
-def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the asked segments of each text, and where their anchors lie.
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows that the family of their anchor hash held before.
 
-    The segments of a frequent anchor hash are sent as single windows instead, dealt by a hash of
-    each window, so that no task gets all of them; of equal windows in a batch only the earliest
-    goes on, the others' spans are known already.
+    The rows come sorted by anchor hash, part, batch and document. One family goes on from anchor
+    hash to anchor hash until it is large; equal windows have equal anchor hashes and parts.
     """
+    family, last = SuffixFamily(), None
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], [], []]
-        asked, orders, rids = batch.column("asked").to_pylist(), ordinals(batch.column("doc_id")), batch.column("rid").to_numpy()
-        single: list[list[np.ndarray]] = [[], [], [], []]
-        for n, text in enumerate(byte_rows(batch.column("text"))):
-            for ask in asked[n]:
-                start, count = divmod(ask["at"], 128)
-                data = bytes(text[start : start + count - 1 + SPAN])
-                if ask["frequent"]:
-                    at = np.arange(count)
-                    window = span_hash(prefix_hash(np.frombuffer(data, np.uint8)), at, at + SPAN)
-                    for column, values in zip(single, (np.full(count, ask["key"]), window, np.full(count, n), start + at), strict=True):
-                        column.append(values)
+        spans = batch.column("end").is_valid()
+        if pc.any(spans).as_py():
+            own = batch.filter(spans)
+            yield pa.RecordBatch.from_arrays([own.column(c) for c in _SPANS.names], schema=_SPANS)
+            batch = batch.filter(pc.invert(spans))
+        if not batch.num_rows:
+            continue
+        key, part, rid, start = (batch.column(c).to_numpy() for c in ("key", "part", "rid", "start"))
+        data = batch.column("data").to_pylist()
+        new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+        new[0] = (key[0], part[0]) != last
+        last = key[-1], part[-1]
+        ends = np.cumsum([len(d) - SPAN + 1 for d in data])
+        at = 0
+        while at < len(data):
+            if len(family) > FAMILY:  # it is closed at the next anchor hash
+                upto = at + int(np.argmax(new[at:])) if new[at:].any() else len(data)
+                if upto == at:
+                    family = SuffixFamily()
                     continue
-                for column, value in zip(out, (ask["key"], 0, int(orders[n]), int(rids[n]), ask["at"], start + anchor_of(data), data), strict=True):
-                    column.append(value)
-        yield from emit(_FETCHED, out, 5_000)
-        if single[0]:
-            key, window, row, start = map(np.concatenate, single)
-            sort = np.lexsort((start, rids[row], orders[row], window, key))
-            key, window, row, start = (x[sort] for x in (key, window, row, start))
-            again = np.append(False, (key[1:] == key[:-1]) & (window[1:] == window[:-1]))
-            first = ~again
-            n = int(first.sum())
-            yield from emit(_FETCHED, [key[first], window[first].view(np.int64), orders[row[first]], rids[row[first]], start[first] * 128 + 1, np.zeros(n, np.int64), pa.nulls(n, pa.binary())])
-            if again.any():
-                r, a, b = merged(row[again], start[again], start[again] + SPAN)
-                yield from emit(_FETCHED, [rids[r], b, orders[r], rids[r], a * 128 + _IS_SPAN, b, pa.nulls(len(r), pa.binary())])
-
-
-def anchor_of(data: bytes) -> int:
-    """Where the anchor of a segment lies in its bytes: every window of it has the same."""
-    raw = np.frombuffer(data[:SPAN], np.uint8)
-    at = np.arange(SPAN - GRAM + 1)
-    grams = span_hash(prefix_hash(raw), at, at + GRAM)
-    return int(np.argmin(grams & ~_LOW))
+            else:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FAMILY, side="right")))
+            found = _compared_batch(family, data[at:upto])
+            if found.any():
+                counts = np.diff(np.append(ends[at - 1] if at else 0, ends[at:upto]))
+                owner = np.repeat(np.arange(at, upto), counts)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + start[owner]
+                yield from emit(_SPANS, merged(rid[owner[found]], place[found], place[found] + SPAN))
+            at = upto
 
 
 def _kept(schema: pa.Schema, as_text: bool):
@@ -385,6 +403,81 @@ _KEPT = pa.schema(
 )
 
 
+class RepeatFamily:
+    """Documents in batches, one after the other; a byte goes if it repeats one of its own batch or of an earlier one.
+
+    The texts are the store; the levels are tables of anchored positions (anchor hash, text,
+    place), sorted by anchor hash. A new batch is merge-scanned against all levels for anchor hashes
+    that occur again, and the bytes of these alone are fetched. Its own positions join as a level;
+    levels of one size class merge into one table.
+    """
+
+    #: Batches that row numbers can tell apart.
+    MOST = 1 << (63 - TURN)
+
+    def __init__(self, spark: SparkSession):
+        ship(spark)
+        self.spark, self.turn = spark, 0
+        self.texts: list[DataFrame] = []
+        self.levels: list[tuple[DataFrame, int]] = []
+
+    def add(self, docs: DataFrame, carry: list[str] | None = None, as_text: bool = False, last: bool = False) -> DataFrame:
+        """The rows of deduplicated() for a further batch. With `last` nothing is kept of it, since no other batch follows."""
+        if self.turn >= self.MOST:
+            raise ValueError(f"a family takes {self.MOST} batches; merge them into fewer, larger ones")
+        rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+        oldest = self.turn << TURN
+        number = F.monotonically_increasing_id()
+        rid = F.when(number < (1 << TURN), number + F.lit(oldest)).otherwise(F.raise_error(F.lit("more input splits than row numbers can tell apart")).cast("long"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"), rid.alias("rid"))
+        texts = written(texts).where("rid is not null")  # every use sees the same numbers, through one exchange
+        rows = texts.select("rid", "text").mapInArrow(_cut, _ROWS_SQL)
+        if not last:
+            rows = written(rows)
+        meeting = rows
+        for level, _ in self.levels:
+            meeting = meeting.unionByName(level)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = texts.repartition(parts, "rid")  # one exchange serves both joins, and small inputs keep all cores busy
+        spans = self._spans([dealt, *self.texts], meeting, frequent_anchors(texts), oldest)
+        found = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        joined = dealt.join(found, "rid", "left").select("doc_id", "rest", "text", "spans")
+        kind = texts.schema["rest"].dataType.simpleString()
+        if not last:
+            self._keep(texts.select("doc_id", "rid", "text"), rows)
+        if as_text:
+            return joined.mapInArrow(_kept(_KEPT, True), f"doc_id long, rest {kind}, text string")
+        return joined.mapInArrow(_kept(_KEPT, False), f"doc_id long, rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>")
+
+    def _spans(self, texts: list[DataFrame], rows: DataFrame, frequent: np.ndarray, oldest: int) -> DataFrame:
+        """(rid, start, end) of the repeats in texts from the row number `oldest` on."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartition(parts, F.when(F.col("at") < 0, F.col("rid")).otherwise(F.col("key"))).sortWithinPartitions("key", F.desc("rid"))
+        asked = dealt.mapInArrow(_asked(oldest), _ROWS_SQL).groupBy("rid").agg(F.collect_list(F.struct("key", "at")).alias("asked"))
+        fetched = None
+        for store in texts:
+            some = store.join(asked, "rid").mapInArrow(_fetched(frequent), _FETCHED_SQL)
+            fetched = some if fetched is None else fetched.unionByName(some)
+        order = ["key", "part", F.shiftright("rid", TURN), "ord", "rid", "start"]
+        compared = fetched.repartition(parts, "key", "part").sortWithinPartitions(*order).mapInArrow(_compared, "rid long, start long, end long")
+        return compared.where(F.col("rid") >= oldest)
+
+    def _keep(self, texts: DataFrame, rows: DataFrame) -> None:
+        """The batch's texts and its positions join the family."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        merging, size = [rows.withColumn("at", F.when(F.col("at") < 0, F.bitwise_not("at")).otherwise(F.col("at")))], rows.count()
+        while self.levels and self.levels[-1][1].bit_length() <= size.bit_length():
+            level, n = self.levels.pop()
+            merging.append(level)
+            size += n
+        whole = merging[0]
+        for level in merging[1:]:
+            whole = whole.unionByName(level)
+        self.levels.append((written(whole.repartition(parts, "key").sortWithinPartitions("key", F.desc("rid"))), size))
+        self.texts.append(texts)
+        self.turn += 1
+
+
 def deduplicated(docs: DataFrame, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """doc_id, rest, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) and removed (the spans) of every row.
 
@@ -394,23 +487,7 @@ def deduplicated(docs: DataFrame, carry: list[str] | None = None, as_text: bool
     `carry`, others are ignored. An empty table gives no rows. With `as_text` the rows have doc_id,
     rest and the text that stays.
     """
-    ship(docs.sparkSession)
-    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"), F.monotonically_increasing_id().alias("rid"))
-    rows = texts.select("doc_id", "rid", "text").mapInArrow(_cut, _ROWS_SQL)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    settled = written(rows.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "segment", "ord", "rid", "at").mapInArrow(_settled, _SETTLED_SQL))
-    tidy(docs.sparkSession)
-    asked = settled.where("end is null").groupBy("rid").agg(F.collect_list(F.struct("key", "at", "frequent")).alias("asked"))
-    fetched = texts.join(asked, "rid").select("doc_id", "rid", "text", "asked").mapInArrow(_fetched, _FETCHED_SQL)
-    compared = sorted_runs(fetched, ["key", "part"], _compared, "rid long, start long, end long", ["ord", "rid", "at"])
-    spans = settled.where("end is not null").select("rid", F.col("at").alias("start"), "end").unionByName(compared)
-    found = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = texts.join(found, "rid", "left").select("doc_id", "rest", "text", "spans")
-    kind = texts.schema["rest"].dataType.simpleString()
-    if as_text:
-        return joined.mapInArrow(_kept(_KEPT, True), f"doc_id long, rest {kind}, text string")
-    return joined.mapInArrow(_kept(_KEPT, False), f"doc_id long, rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>")
+    return RepeatFamily(docs.sparkSession).add(docs, carry, as_text, last=True)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

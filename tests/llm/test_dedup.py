@@ -197,38 +197,63 @@ def test_repeated_rows_and_missing_ids(spark):
     assert got == sorted([(3, 0), (7, 150), (7, 150), (None, 150)], key=repr)
 
 
-def test_many_segments_of_one_anchor(monkeypatch, passages):
-    """The comparison by distance to the anchor gives the spans that the plain one gives."""
-
-    def spans(rows):
-        fetched = []
-        for rid, (i, text) in enumerate(sorted(rows)):
-            data = (text or "").encode()
-            start, count, key, _ = X.segments(np.frombuffer(data, np.uint8), np.array([len(data)]))
-            for s, c, k in zip(start.tolist(), count.tolist(), key.view(np.int64).tolist(), strict=True):
-                part = data[s : s + c - 1 + X.SPAN]
-                fetched.append((k, 0, i, rid, s * 128 + c, s + X.anchor_of(part), part))
-        fetched.sort()
-        names = ["key", "part", "ord", "rid", "at", "anchor", "data"]
-        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*fetched[a : a + 700], strict=True)], names=names) for a in range(0, len(fetched), 700)]
+def test_families_of_any_size(spark, monkeypatch, passages):
+    """Small batches and families that are closed early give the same spans."""
+    monkeypatch.setattr(X, "BATCH", 50)
+    monkeypatch.setattr(X, "FAMILY", 300)
+    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([n]), pa.array([t], pa.string())], names=["doc_id", "rid", "text"]) for n, (i, t) in enumerate(sorted(passages))]
+    asked = {}
+    for b in X._cut(iter(batches)):
+        for r in b.to_pylist():
+            asked.setdefault(r["rid"], []).append({"key": r["key"], "at": r["at"] if r["at"] >= 0 else ~r["at"]})
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int64())]))
+    for often in (np.zeros(0, np.int64), np.unique([a["key"] for x in asked.values() for a in x])):
+        fetched = [r for b in batches if b["rid"][0].as_py() in asked for f in X._fetched(often)(iter([b.append_column("asked", pa.array([asked[b["rid"][0].as_py()]], kind))])) for r in f.to_pylist()]
+        fetched.sort(key=lambda r: tuple(r[c] for c in ("key", "part", "ord", "rid", "start")))
+        whole = pa.Table.from_pylist(fetched, X._FETCHED).to_batches(max_chunksize=90)
         marks = {}
-        for b in X._compared(iter(batches)):
+        for b in X._compared(iter(whole)):
             for r in b.to_pylist():
                 marks.setdefault(r["rid"], set()).update(range(r["start"], r["end"]))
-        return marks
+        assert {rid: len(s) for rid, s in marks.items()} == {n: v[1] for n, (i, v) in enumerate(sorted(removed(passages).items())) if v[1]}
 
-    plain = spans(passages)
-    monkeypatch.setattr(X, "MANY", 3)
-    assert spans(passages) == plain
-    assert {rid: len(s) for rid, s in plain.items()} == {n: v[1] for n, (i, v) in enumerate(sorted(removed(passages).items())) if v[1]}
 
+def test_a_family_takes_batches(spark, passages):
+    """Three batches in a row give what one batch of the same order gives; levels merge on the way."""
+    rows = [(n, t) for n, (_, t) in enumerate(sorted(passages))]
+    want, thirds = removed(rows), [rows[:70], rows[70:140], rows[140:]]
+    for last in (False, True):
+        family, got = X.RepeatFamily(spark), {}
+        for n, part in enumerate(thirds):
+            docs = spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+            got |= {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in family.add(docs, last=last and n == 2).collect()}
+        assert got == want
+        assert sum(n for _, n in family.levels) > 0 and len({n.bit_length() for _, n in family.levels}) == len(family.levels)
 
-def test_frequent_anchors(spark):
+
+def test_a_later_batch_goes_after_an_earlier_one(spark):
+    text = "".join(random.Random(11).choices("abcdefg ", k=300))
+    family = X.RepeatFamily(spark)
+    first = family.add(spark.createDataFrame([(9, text)], "doc_id long, text string"))
+    again = family.add(spark.createDataFrame([(1, "x" + text), (None, None)], "doc_id long, text string"))
+    third = family.add(spark.createDataFrame([], "doc_id long, text string"))
+    assert [r["n_removed"] for r in first.collect()] == [0] and {r["doc_id"]: r["n_removed"] for r in again.collect()} == {1: 300, None: 0} and third.count() == 0
+
+
+def test_frequent_anchor_sample(spark, monkeypatch):
+    monkeypatch.setattr(X, "LEAST", 4)
+    line = "a line that many documents hold, of over thirty-two bytes"
+    docs = spark.createDataFrame([(i, f"{i:050d}{line}{i:060d}") for i in range(40)], "rid long, text string")
+    assert len(X.frequent_anchors(docs)) > 0 and len(X.frequent_anchors(docs.where("1 = 0"))) == 0
+
+
+def test_frequent_anchors(spark, monkeypatch):
     """A short line and a longer passage in very many unequal surroundings, over several batches."""
     rng = random.Random(8)
     line, passage = "a common line of some fifty or sixty bytes in all, yes", "".join(rng.choices("xyz", k=104))
     texts = ["".join(rng.choices("abcdefgh", k=rng.randint(60, 160))) + rng.choice([line, passage, line + passage]) + "".join(rng.choices("abcdefgh", k=rng.randint(60, 160))) for _ in range(400)]
     rows = list(enumerate(texts)) + [(1000, line * 3), (1001, passage + "tail" * 30)]
+    monkeypatch.setattr(X, "LEAST", 8)
     for parts in (1, 9):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
         assert {r[0]: tuple(r)[1:] for r in repeated_spans(docs).collect()} == removed(rows)
@@ -236,15 +261,17 @@ def test_frequent_anchors(spark):
 
 def test_family_levels():
     rng = random.Random(2)
-    family, seen = SuffixFamily(), set()
+    family, seen = SuffixFamily(5), set()
     for _ in range(40):
-        batch = ["".join(rng.choice("ab") for _ in range(5)) for _ in range(rng.randint(1, 30))]
-        hit = family.add(np.array([b.encode() for b in batch], "S5"))
-        for b, h in zip(batch, hit.tolist(), strict=True):
-            assert h == (b in seen)
-            seen.add(b)
+        texts = ["".join(rng.choice("ab") for _ in range(rng.randint(5, 9))) for _ in range(rng.randint(1, 12))]
+        hit = family.add([t.encode() for t in texts]).tolist()
+        for w in [t[i : i + 5] for t in texts for i in range(len(t) - 4)]:
+            assert hit.pop(0) == (w in seen)
+            seen.add(w)
         sizes = [len(x).bit_length() for x in family.levels]
-        assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
+        assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes) and len(family) == len(seen)
+        for level in family.levels:
+            assert (np.diff(np.argsort(family.windows(level), kind="stable")) == 1).all()
 
 
 def test_long_texts_are_cut_into_pieces(monkeypatch):
@@ -253,10 +280,10 @@ def test_long_texts_are_cut_into_pieces(monkeypatch):
     windows = {}
     for pieces in X._pieces([data.tobytes()], 512):
         for _, offset, part in pieces:
-            start, count, key, _ = X.segments(part, np.array([len(part)]))
+            start, count, key = X.segments(part, np.array([len(part)]))
             for s, c, k in zip(start.tolist(), count.tolist(), key.tolist(), strict=True):
                 windows.update({offset + s + i: k for i in range(c)})
-    assert windows == {s + i: k for s, c, k in zip(whole[0].tolist(), whole[1].tolist(), whole[2].tolist(), strict=True) for i in range(c)}
+    assert windows == {s + i: k for s, c, k in zip(*(x.tolist() for x in whole), strict=True) for i in range(c)}
 
 
 def test_near_vectors(spark):
