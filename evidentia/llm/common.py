@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidentia.session import checkpointing, cut, deleted, ship, shuffles_dropped, table  # noqa: F401  (used by the operators)
 
@@ -145,3 +145,9 @@ def forget(spark: SparkSession, paths: set[str]) -> None:
     """Remove tables whose rows are in another one by now."""
     deleted(spark, sorted(paths))
     _TABLES[:] = [t for t in _TABLES if t not in paths]
+
+
+def forget_but(spark: SparkSession, before: set[str], *kept: DataFrame) -> None:
+    """Remove the tables that were written since `before`, but for those that the kept frames read."""
+    used = "\n".join(f for df in kept for f in df.inputFiles())
+    forget(spark, {t for t in tables() - before if t.rsplit("/", 1)[1] not in used})

@@ -1,12 +1,16 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
 Vectors are unit-scaled and turned so that a few leading directions hold most of their spread.
-Two unit vectors at a cosine of t lie within sqrt(2 - 2t) of each other, also along the first
-direction alone; so each label's vectors are cut along it into cells of that width and a cell
-meets itself and the next one. Cells are cut further into tiles of a bounded number of vectors.
-A pair of tiles is compared by the leading directions first; what the rest can add is bounded by
-the product of the suffix norms, and pairs that cannot reach the threshold stop there. What is
-left is confirmed by the full cosine in double precision.
+Each label's space is cut at the middle of as many leading directions as its vectors need to fall
+into cells of about a tile. Two unit vectors at a cosine of t lie within sqrt(2 - 2t) of each
+other, also in the cut directions together; so a vector visits a cell beside its own only if the
+distances to the cuts between them stay within that reach jointly, and of two cells only the one
+of the larger number is visited. Tile pairs that no cut separates by less are never made.
+
+Cells are cut further into tiles of a bounded number of vectors. A pair of tiles is compared by
+the leading directions first; what the rest can add is bounded by the product of the suffix
+norms, and pairs that cannot reach the threshold stop there. What is left is confirmed by the
+full cosine in double precision.
 
 A pair of tiles gives back counts per vector and the edges of a spanning forest, never all pairs,
 and identical vectors are compared once.
@@ -18,27 +22,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidentia.llm.common import cut, ship
+from evidentia.llm.common import forget_but, ship, tables, written
 from evidentia.llm.components import components
 
 #: Vectors that the directions are fitted on at most, leading directions that are kept, vectors in a tile.
-SAMPLE, LEADING, TILE = 5000, 16, 1024
+SAMPLE, LEADING, TILE = 5000, 24, 1024
 
-_GROUP = "label, size, cell, tile"
+_ROWS = "label string, x array<double>, node long, copies long, size int, cell long, home boolean"
 
 
-def _bases(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector length in a bounded sample, its LEADING principal directions as columns."""
-    rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(31)), "vec_id").limit(SAMPLE).select("x").collect()
+def _bases(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each vector length in a sample of SAMPLE vectors, its LEADING principal directions as columns and the middle along each."""
+    rows = vectors.orderBy(F.xxhash64("node", F.lit(31)), "node").limit(SAMPLE).select("x").collect()
     by_size: dict[int, list] = {}
     for row in rows:
         by_size.setdefault(len(row["x"]), []).append(row["x"])
     out = {}
     for size, xs in by_size.items():
-        m = np.array(xs)
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
-        _, turn = np.linalg.eigh(m.T @ m)
-        out[size] = np.ascontiguousarray(turn[:, ::-1][:, :LEADING])
+        u = _units(np.array(xs))
+        _, turn = np.linalg.eigh(np.cov(u.T, bias=True).reshape(size, size) if len(u) > 1 else u.T @ u)
+        basis = np.ascontiguousarray(turn[:, ::-1][:, :LEADING])
+        out[size] = basis, np.median(u @ basis, axis=0)
     return out
 
 
@@ -46,18 +50,41 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _turned(bases: dict[int, np.ndarray], width: float):
-    """Adds the cell along the first direction."""
+def _visits(gaps: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the cells of larger numbers whose box lies within reach; `gaps` are the rows' signed distances to the cuts.
+
+    Cells differ from a row's own by a set of cuts; the squared distances to these add up, so the
+    sets are grown cut by cut as long as the sum allows.
+    """
+    row, cell, spent = np.arange(len(own)), own.copy(), np.zeros(len(own))
+    for i in range(gaps.shape[1]):
+        more = spent + gaps[row, i] ** 2
+        go = more <= reach * reach
+        row, cell, spent = np.concatenate([row, row[go]]), np.concatenate([cell, cell[go] ^ (1 << i)]), np.concatenate([spent, more[go]])
+    larger = cell > own[row]
+    return row[larger], cell[larger]
+
+
+def _placed(bases: dict[int, tuple[np.ndarray, np.ndarray]], cuts: int, reach: float, payload: bool):
+    """Each vector in its own cell and, as a visitor, in the cells of larger numbers that its links may lie in."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("x").to_pylist()
-            cells = np.zeros(len(lists), np.int64)
-            for size in set(map(len, lists)):
-                at = [i for i, x in enumerate(lists) if len(x) == size]
-                first = bases[size][:, 0] if size in bases else np.eye(size, 1)[:, 0]
-                cells[at] = np.floor(_units(np.array([lists[i] for i in at])) @ first / width).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=[*batch.schema.names, "cell"])
+            begins, flat = batch.column("x").offsets.to_numpy(), batch.column("x").values.to_numpy()
+            sizes = np.diff(begins)
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                x = flat[begins[at][:, None] + np.arange(size)]
+                basis, middle = bases.get(size, (np.eye(size)[:, :LEADING], np.zeros(min(size, LEADING))))
+                gaps = (_units(x) @ basis - middle)[:, :cuts]
+                own = ((gaps > 0) << np.arange(gaps.shape[1])).sum(1).astype(np.int64) if gaps.shape[1] else np.zeros(len(at), np.int64)
+                row, cell = _visits(gaps, own, reach)
+                rows = batch.take(pa.array(np.concatenate([at, at[row]])))
+                home = np.arange(rows.num_rows) < len(at)
+                columns = {n: rows.column(n) for n in ("label", "x", "node", "copies")}
+                if not payload:
+                    columns["x"] = pa.nulls(rows.num_rows, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_pydict({**columns, "size": pa.array(np.full(rows.num_rows, size), pa.int32()), "cell": np.concatenate([own, cell]), "home": home})
 
     return run
 
@@ -114,13 +141,13 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, basis: np.ndarray, threshold: flo
     return np.concatenate(out_a) if out_a else none, np.concatenate(out_b) if out_b else none
 
 
-def _compared(bases: dict[int, np.ndarray], threshold: float):
+def _compared(bases: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float):
     def run(group: pa.Table) -> pa.Table:
         lists = group.column("x").combine_chunks()
         x = lists.flatten().to_numpy().reshape(len(lists), -1)
-        ids, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
+        ids, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
         left = group.column("left").to_numpy(zero_copy_only=False)
-        basis = bases.get(x.shape[1], np.eye(x.shape[1])[:, :LEADING])
+        basis = bases[x.shape[1]][0] if x.shape[1] in bases else np.eye(x.shape[1])[:, :LEADING]
         same = bool(group.column("same")[0].as_py())
         at_a, at_b = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
         a, b = linked_pairs(x[at_a], x[at_b], basis, threshold, same) if len(at_a) and len(at_b) else (at_a[:0], at_a[:0])
@@ -139,10 +166,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     Rows are linked when their labels are equal and not null and their cosine is at least
     `threshold`. Vectors that are null, empty or zero, hold null or non-finite components or
     have no id link with nothing: they have no links and are their own component, as are
-    vectors of different lengths to each other. Repeated rows are linked like others. The
-    smallest id of a component is kept; other columns are ignored.
+    vectors of different lengths to each other. Repeated rows are linked like others, and rows
+    that share an id but not the label or the vector are told apart. The smallest id of a
+    component is kept; an empty table gives no rows; other columns are ignored.
     """
-    ship(vectors.sparkSession)
+    spark, before = vectors.sparkSession, tables()
+    ship(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
     sound = F.coalesce(
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0),
@@ -155,27 +184,27 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     power = F.pow(F.lit(2.0), -F.floor(F.log2(largest)))
     scaled = F.when((largest > 1e100) | (largest < 1e-100), F.transform(clean, lambda v: v * power)).otherwise(clean)
     classes = rows.where("sound").groupBy("label", scaled.alias("x")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = classes.withColumn("class", F.xxhash64("label", "rep"))
-    classes = cut(classes)
-    bases = _bases(classes.select(F.col("rep").alias("vec_id"), "x"))
-    width = float(np.sqrt(max(1e-12, 2 - 2 * threshold)) + 1e-9)
-    celled = classes.select("label", "x", "rep", "copies").mapInArrow(_turned(bases, width), "label string, x array<double>, rep long, copies long, cell long").withColumn("size", F.size("x"))
-    counts = celled.groupBy("label", "size", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    beside = counts.select("label", "size", (F.col("cell") - 1).alias("cell"), F.col("tiles").alias("next_tiles"))
-    before = counts.select("label", "size", (F.col("cell") + 1).alias("cell"), F.col("tiles").alias("last_tiles"))
-    placed = celled.join(counts, ["label", "size", "cell"]).join(beside, ["label", "size", "cell"], "left").join(before, ["label", "size", "cell"], "left")
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("tiles")).cast("int"))
-    meetings = F.expr("""flatten(array(
-        transform(sequence(0, tiles - 1), t -> named_struct('cell', cell, 'a', least(t, tile), 'next', 0, 'b', greatest(t, tile), 'left', tile <= t, 'same', t = tile)),
-        if(next_tiles is null, array(), transform(sequence(0, next_tiles - 1), t -> named_struct('cell', cell, 'a', tile, 'next', 1, 'b', t, 'left', true, 'same', false))),
-        if(last_tiles is null, array(), transform(sequence(0, last_tiles - 1), t -> named_struct('cell', cell - 1, 'a', t, 'next', 1, 'b', tile, 'left', false, 'same', false)))))""")
-    met = placed.select("label", "size", "x", "rep", "copies", F.explode(meetings).alias("m")).select("label", "size", "x", "rep", "copies", "m.*")
-    found = met.groupBy("label", "size", "cell", "a", "next", "b").applyInArrow(_compared(bases, threshold), "node long, other long, links long")
-    found = cut(found)
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
+    bases = _bases(classes.select("node", "x"))
+    largest_group = classes.groupBy("label", F.size("x")).count().agg(F.max("count")).first()[0] or 0
+    cuts = min(LEADING, max(0, int(np.ceil(np.log2(max(1, 2 * largest_group / TILE))))))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9)
+    placed = lambda payload: classes.select("label", "x", "node", "copies").mapInArrow(_placed(bases, cuts, reach, payload), _ROWS)
+    counts = placed(False).groupBy("label", "size", "cell").agg(*[F.ceil(F.count(F.when(who, 1)) / TILE).cast("int").alias(name) for who, name in ((F.col("home"), "tiles"), (~F.col("home"), "guests"))])
+    told = placed(True).join(counts.where("tiles > 0"), ["label", "size", "cell"])
+    told = told.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.when(F.col("home"), F.col("tiles")).otherwise(F.col("guests"))).cast("int"))
+    meetings = F.expr("""if(home, concat(
+        transform(sequence(0, tiles - 1), t -> named_struct('a', least(t, part), 'guest', false, 'b', greatest(t, part), 'left', part <= t, 'same', t = part)),
+        if(guests = 0, array(), transform(sequence(0, guests - 1), t -> named_struct('a', part, 'guest', true, 'b', t, 'left', true, 'same', false)))),
+        transform(sequence(0, tiles - 1), t -> named_struct('a', t, 'guest', true, 'b', part, 'left', false, 'same', false)))""")
+    met = told.select("label", "size", "cell", "x", "node", "copies", F.explode(meetings).alias("m")).select("label", "size", "cell", "x", "node", "copies", "m.*")
+    found = written(met.groupBy("label", "size", "cell", "a", "guest", "b").applyInArrow(_compared(bases, threshold), "node long, other long, links long"))
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(found.where("other is not null"), "node", "other").select("node", "component")
-    by_class = classes.select("label", "x", "rep", "copies").join(links.withColumnRenamed("node", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = by_class.select("label", "x", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+    groups = components(found.where("other is not null"), "node", "other").select("node", F.col("component").alias("group"))
+    forget_but(spark, before, classes, found, groups)
+    by_node = classes.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    least = by_node.groupBy("group").agg(F.min("rep").alias("component"))
+    by_class = by_node.join(least, "group").join(links, "node", "left").select("label", "x", "copies", F.coalesce("links", F.lit(0)).alias("links"), "component")
     keyed = rows.select("vec_id", F.when(F.col("sound"), F.col("label")).alias("label"), F.when(F.col("sound"), scaled).alias("x"))
     out = keyed.join(by_class, ["label", "x"], "left")
     component = F.coalesce("component", "vec_id")

@@ -7,10 +7,14 @@ COORDINATES - m + 1, where m follows from the similarity asked for (see `agreein
 are left out of the count: the same holds for the first as many others. Inside a posting list, classes that cannot collect enough collisions
 with the others at all are skipped; the rest are merged from one to the next, counting the
 collisions, and those above the threshold are joined by the edges of a spanning forest.
+A long list is dealt into cells of a bounded size, each with the list's least class besides its
+own: what a cell connects with that class is connected in the whole list, and only the rest
+meets all others, in a grid of cells.
 
 The forests' components are small groups of candidates. Inside each group the links are
-confirmed on the full shingle sets and again only a spanning forest leaves a task. No pairs of
-a group are ever written out, and no list, group or set is gathered on the driver.
+confirmed on the full shingle sets, large groups dealt into cells in the same way, and again only
+a spanning forest leaves a task. No pairs of a group are ever written out, and no list, group or
+set is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from evidentia.llm.common import PIECE, byte_rows, cut, emit, mix, prefix_hash, ship, sorted_runs, span_hash, whole_runs
+from evidentia.llm.common import PIECE, byte_rows, emit, forget_but, mix, prefix_hash, ship, sorted_runs, span_hash, tables, whole_runs, written
 from evidentia.llm.components import components
 
 WORDS = 5
@@ -40,13 +44,11 @@ def agreeing(percent: int) -> int:
 
 
 MATCHES = agreeing(85)
-#: Entries of a posting list that one task compares; longer lists are dealt into tiles that meet in pairs.
-LIST = 8192
-#: Shingles of candidates that one task compares; larger groups are dealt into tiles that meet in pairs.
-SHINGLES = 1_500_000
+#: Entries of a posting list in one cell, and shingles of a candidate group in one cell.
+LIST, SHINGLES = 1024, 1_500_000
 
-#: Classes that frequent values are looked for in, and times that a value must occur among them at least to be called frequent.
-SAMPLE, LEAST = 50_000, 64
+#: Classes that frequent values are looked for in, times that a value must occur among them at least to be called frequent, and classes that have it then.
+SAMPLE, LEAST, OFTEN = 50_000, 64, 8192
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -204,45 +206,97 @@ def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_values(classes: DataFrame, n: int) -> np.ndarray:
-    """Hashes that more than about LIST classes have, judged by a sample of SAMPLE classes at most; so there are 64 * SAMPLE / LEAST of them at most."""
+    """Hashes that more than about OFTEN classes have, judged by a sample of SAMPLE classes at most; so there are 64 * SAMPLE / LEAST of them at most."""
     share = min(1.0, SAMPLE / max(1, n))
-    sampled = classes if share == 1.0 else classes.where(F.pmod(F.col("node"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sampled = classes if share == 1.0 else classes.where(F.pmod(F.xxhash64("node", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
     counts = sampled.select("signature").mapInArrow(_valued, "value long").groupBy("value").count()
-    rows = counts.where(F.col("count") > max(LEAST, int(LIST * share))).select("value").collect()
+    rows = counts.where(F.col("count") > max(LEAST, int(OFTEN * share))).select("value").collect()
     return np.sort(np.array([r["value"] for r in rows], np.int64).view(np.uint64))
 
 
-_POSTED = pa.schema([("node", pa.int64()), ("posting", pa.int64())])
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_POSTED = pa.schema([("node", pa.int64()), ("key", pa.int64())])
 
 
-def _candidates(matches: int):
-    """Edges between the classes of each posting list that agree often enough."""
+_LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+
+
+def _within(links, payload: str, decoded):
+    """Edges inside each cell of rows; and, as rows without `b`, the nodes of a first grid's cell that its leader does not reach.
+
+    `links` gives the edges (by place) of a spanning forest of decoded payloads. The rows of a cell
+    come sorted by key, cell and node, so that one node has one place. A node that is its key's
+    leader is marked by `lead`; only in lists of several cells there is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_runs(batches, ["posting", "low", "high"]):
-            node = table.column("node").to_numpy()
-            found = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(node), COORDINATES)
-            ends = np.append(starts[1:], len(node))
-            two = starts[ends - starts == 2]
-            hit = two[(found[two] == found[two + 1]).sum(1) >= matches]
-            a, b = [node[hit]], [node[hit + 1]]
-            for i, j in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-                u, v = connected(found[i:j], matches)
-                a.append(node[i:j][u])
-                b.append(node[i:j][v])
-            yield from emit(_EDGES, [np.concatenate(a), np.concatenate(b)])
+        for table, starts in whole_runs(batches, ["key", "across", "along"]):
+            key, node, lead = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "lead"))
+            raw = table.column(payload)
+            out: list[list[np.ndarray]] = [[], [], []]
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+                own, first = np.unique(node[i:j], return_index=True)
+                if len(own) == 1:
+                    continue
+                a, b = links(decoded(raw.slice(i, j - i).take(pa.array(first)).to_pylist()))
+                out[0].append(own[a])
+                out[1].append(own[b])
+                out[2].append(np.zeros(len(a), np.int64))
+                if lead[i:j].any():
+                    rest = own[~_reached(int(np.flatnonzero(lead[i:j][first])[0]), a, b, len(own))]
+                    out[0].append(rest)
+                    out[1].append(np.full(len(rest), -1))
+                    out[2].append(np.full(len(rest), key[i]))
+            if out[0]:
+                a, b, k = map(np.concatenate, out)
+                yield from emit(_LINKED, [a, pa.array(b, mask=b < 0), k])
 
     return run
 
 
-def alike(rep: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the sets for which 100 * |intersection| >= percent * |union|."""
+def _reached(start: int, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places the edges connect with the one to start from."""
+    mark = np.zeros(n, bool)
+    mark[start] = True
+    while True:
+        hit = mark[a] != mark[b]
+        if not hit.any():
+            return mark
+        mark[a[hit]] = mark[b[hit]] = True
+
+
+def _connected_in_cells(rows: DataFrame, sizes: DataFrame, payload: DataFrame, name: str, function) -> DataFrame:
+    """Edges (a, b) that connect within each key all nodes that links connect.
+
+    `rows` has key and node, `sizes` for each key of two nodes or more its leader (a node of it)
+    and the number of its cells, `payload` what is compared of each node. In lists of several cells
+    the leader is in each. Nodes that their cell does not connect with it meet all nodes of the
+    list in a grid, across by themselves and along with the others.
+    """
+    spread = lambda salt, into: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(into)).cast("int")
+    every = lambda into: F.sequence(F.lit(0), F.col(into) - 1)
+    columns = ["key", "across", "along", "node", "lead"]
+    dealt = rows.join(sizes, "key").withColumn("lead", (F.col("cells") > 1) & (F.col("node") == F.col("leader")))
+    dealt = dealt.withColumn("along", F.explode(F.when(F.col("lead"), every("cells")).otherwise(F.array(spread(7, "cells"))))).withColumn("across", F.lit(0))
+    schema = "a long, b long, key long"
+    compared = lambda cells: sorted_runs(cells.select(*columns).join(payload, "node").select(*columns, name), ["key", "across", "along"], function, schema, ["node"])
+    first = written(compared(dealt))
+    rest = first.where("b is null").select("key", F.col("a").alias("node"))
+    if rest.isEmpty():
+        return first.select("a", "b")
+    left = rest.groupBy("key").agg(F.count("*").alias("n")).join(sizes.select("key", "cells", "size"), "key")
+    left = left.select("key", "cells", F.ceil(F.col("n") * F.col("cells") / F.col("size")).cast("int").alias("rows"), F.lit(False).alias("lead"))
+    along = rows.join(left, "key").withColumns({"along": spread(7, "cells"), "across": F.explode(every("rows"))})
+    across = rest.join(left, "key").withColumns({"across": spread(13, "rows"), "along": F.explode(every("cells"))})
+    return first.where("b is not null").select("a", "b").unionByName(compared(along.select(*columns).unionByName(across.select(*columns))).select("a", "b"))
+
+
+def alike(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, by place, of a spanning forest of the sets for which 100 * |intersection| >= percent * |union|."""
     sizes = np.array([len(s) for s in sets], np.int64)
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
-    a, b, rest = [], [], np.arange(len(rep))
+    a, b, rest = [], [], np.arange(len(sets))
     while len(rest) > 1:
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
@@ -263,21 +317,7 @@ def alike(rep: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.nda
                 b += hits.tolist()
                 queue += hits.tolist()
                 rest = np.setdiff1d(rest, hits, assume_unique=True)
-    return rep[np.array(a, np.int64)], rep[np.array(b, np.int64)]
-
-
-def _confirmed(percent: int):
-    """Edges of each candidate group, confirmed on the full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_runs(batches, ["candidates", "low", "high"]):
-            node, raw = table.column("node").to_numpy(), table.column("shingles")
-            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
-                if j - i > 1:
-                    sets = [np.frombuffer(x, np.uint64) for x in raw.slice(i, j - i).to_pylist()]
-                    yield from emit(_EDGES, alike(node[i:j], sets, percent))
-
-    return run
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,12 +327,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sets, pa.binary())], names=[*names, "shingles"])
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """Each row once for every pair of its key's tiles that its own takes part in, as (low, high)."""
-    pairs = rows.select("*", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
-    return pairs.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
-
-
 def classes_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, class (digest of the shingle set), n_shingles and signature of every row."""
     ship(docs.sparkSession)
@@ -301,37 +335,34 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
 
 def _classes(classed: DataFrame) -> DataFrame:
-    """One row per distinct set, with the row that stands for it.
-
-    Classes go by a hash of their digest, since one id may stand for several where rows repeat it.
-    """
+    """One row per distinct set, with the row that stands for it and a number of its own."""
     classes = classed.where("class is not null and doc_id is not null").groupBy("class").agg(
         F.min("doc_id").alias("rep"), F.min_by("text_key", "doc_id").alias("text_key"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")
     )
-    return classes.withColumn("node", F.xxhash64("class"))
+    return written(classes.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _candidate_groups(classes: DataFrame, matches: int) -> DataFrame:
     """(node, candidates): classes whose signatures are connected by enough agreeing coordinates."""
     frequent = frequent_values(classes, classes.count())
-    posted = classes.select("node", "signature").mapInArrow(_posted(frequent, matches), "node long, posting long")
-    # No list is much longer than LIST but those of rows with hardly any rare value, so a window may count them.
-    entries = posted.withColumn("n", F.count("*").over(Window.partitionBy("posting"))).where("n > 1")
-    entries = entries.withColumn("tiles", F.ceil(F.col("n") / LIST).cast("int")).drop("n")
-    entries = entries.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
-    entries = _met(entries.join(classes.select("node", "signature"), "node")).select("posting", "low", "high", "node", "signature")
-    return components(sorted_runs(entries, ["posting", "low", "high"], _candidates(matches), "a long, b long")).select("node", F.col("component").alias("candidates"))
+    posted = classes.select("node", "signature").mapInArrow(_posted(frequent, matches), "node long, key long")
+    sizes = posted.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1").withColumn("cells", F.ceil(F.col("size") / LIST).cast("int"))
+    links = _within(lambda found: connected(found, matches), "signature", lambda raw: np.frombuffer(b"".join(raw), np.uint32).reshape(-1, COORDINATES))
+    edges = _connected_in_cells(posted, sizes, classes.select("node", "signature"), "signature", links)
+    return components(edges).select("node", F.col("component").alias("candidates"))
 
 
 def _linked(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(node, component) by links that are confirmed on the full sets of the candidates' texts."""
-    sizes = members.groupBy("candidates").agg(F.ceil(F.sum("n_shingles") / SHINGLES).cast("int").alias("tiles"))
-    members = members.join(sizes, "candidates").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(11)), F.col("tiles")).cast("int"))
+    rows = members.select(F.col("candidates").alias("key"), "node")
+    sizes = members.groupBy(F.col("candidates").alias("key")).agg(F.sum("n_shingles").alias("size"), F.min("node").alias("leader"), F.count("*").alias("nodes"))
+    cells = F.least(F.ceil(F.col("size") / SHINGLES), F.col("nodes")).cast("int")
+    sizes = sizes.where("nodes > 1").select("key", F.col("nodes").alias("size"), "leader", cells.alias("cells"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    told = members.select("node", "rep", "text_key", "candidates", "tile", "tiles").join(texts, "rep").where(F.xxhash64("text") == F.col("text_key")).dropDuplicates(["rep", "node"])
-    sets = told.select("node", "candidates", "tile", "tiles", "text").mapInArrow(_sets, "node long, candidates long, tile int, tiles int, shingles binary")
-    met = _met(sets).select("candidates", "low", "high", "node", "shingles")
-    return components(sorted_runs(met, ["candidates", "low", "high"], _confirmed(percent), "a long, b long"))
+    told = members.select("node", "rep", "text_key").join(texts, "rep").where(F.xxhash64("text") == F.col("text_key")).dropDuplicates(["node"])
+    sets = written(told.select("node", "text").mapInArrow(_sets, "node long, shingles binary"))
+    links = _within(lambda found: alike(found, percent), "shingles", lambda raw: [np.frombuffer(x, np.uint64) for x in raw])
+    return components(_connected_in_cells(rows, sizes, sets, "shingles", links))
 
 
 def near_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -345,11 +376,13 @@ def near_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     included. A row without an id is in the component of its set but does not name it, and a set
     that only such rows have links nothing. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    classed = cut(classes_of(docs))
-    classes = cut(_classes(classed))
-    members = cut(_candidate_groups(classes, agreeing(percent)).join(classes.select("node", "rep", "text_key", "n_shingles"), "node"))
+    spark, before = docs.sparkSession, tables()
+    classed = written(classes_of(docs))
+    classes = _classes(classed)
+    members = written(_candidate_groups(classes, agreeing(percent)).join(classes.select("node", "rep", "text_key", "n_shingles"), "node"))
+    forget_but(spark, before, classed, classes, members)
     found = _linked(docs, members, percent)
+    forget_but(spark, before, classed, classes, found)
     named = found.join(classes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = classes.select("node", "class", "rep").join(found, "node", "left").join(least, "component", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
@@ -364,7 +397,8 @@ def without_near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     Rows without an id stay where no row with an id has their set; of rows with the same id and
     text one stays.
     """
-    found = near_documents(docs, percent).where("kept or component_id is null").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
-    keyed = docs.withColumns({"__key": F.xxhash64("text"), "__own": F.col("doc_id").cast("long")})
-    kept = keyed.join(found, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), "left_semi")
-    return kept.dropDuplicates(["__own", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = near_documents(docs, percent).where("kept or component_id is null").select("doc_id", "text_key").distinct()
+    id_, text = F.col("row.doc_id").cast("long"), F.xxhash64(F.col("row.text").cast("string"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", id_.alias("id"), text.alias("key"))
+    kept = rows.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left_semi")
+    return kept.dropDuplicates(["id", "key"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

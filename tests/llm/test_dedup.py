@@ -144,6 +144,8 @@ def test_near_documents_with_a_common_passage(spark, monkeypatch):
     import evidentia.llm.minhash as M
 
     monkeypatch.setattr(M, "LIST", 12)
+    monkeypatch.setattr(M, "OFTEN", 12)
+    monkeypatch.setattr(M, "SHINGLES", 300)
     monkeypatch.setattr(M, "LEAST", 12)
     passage = " ".join(f"common{i}" for i in range(40))
     texts = [f"{t} {passage}" for t in near_copies(5) if t] + [" ".join(f"hot{i}" for i in range(60)) + f" {n}" for n in range(40)]
@@ -154,6 +156,42 @@ def test_near_documents_with_a_common_passage(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_documents(docs).collect()} == want
 
 
+def test_cells_of_long_lists(spark, monkeypatch):
+    """Groups that no single node links, and nodes that their leader does not reach, are connected over cells."""
+    import evidentia.llm.minhash as M
+
+    rng = random.Random(12)
+    value = {n: rng.randrange(3) * 1000 + rng.randrange(60) for n in range(400)}
+    rows = spark.createDataFrame([(n % 2, n) for n in value], "key long, node long")
+    payload = spark.createDataFrame(list(value.items()), "node long, value long")
+    sizes = rows.groupBy("key").agg(M.F.count("*").alias("size"), M.F.min("node").alias("leader")).withColumn("cells", M.F.ceil(M.F.col("size") / 9).cast("int"))
+
+    def near(values):
+        x = np.array(values)
+        return np.nonzero(np.triu(np.abs(x[:, None] - x[None]) <= 1, 1))
+
+    edges = M._connected_in_cells(rows, sizes, payload, "value", M._within(near, "value", list))
+    got = joined([(r["a"], r["b"]) for r in edges.where("b is not null").collect()], value)
+    links = [(a, b) for a in value for b in range(a % 2, a, 2) if abs(value[a] - value[b]) <= 1]
+    assert got == joined(links, value)
+    assert {M._reached(0, np.array([1, 2, 4]), np.array([0, 1, 5]), 6).tolist().count(True)} == {3}
+
+
+def test_hubs(spark, monkeypatch):
+    import evidentia.llm.components as C
+
+    monkeypatch.setattr(C, "HUB", 5)
+    pairs = [(0, i) for i in range(3, 90)] + [(i, 200) for i in range(80, 120)] + [(500, i) for i in range(501, 540)] + [(2, None), (700, 701)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = joined([p for p in pairs if None not in p], {x for p in pairs if None not in p for x in p})
+    assert got == want
+
+
+def test_copied_rows_keep_odd_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, "x", None), (2, "A b c", 6, "y", 1.0), (3, None, 7, "z", None)], "doc_id int, text string, __key int, `row.id` string, key double")
+    assert sorted(map(tuple, without_near_copies(docs).collect())) == [(1, "a b c", 5, "x", None), (3, None, 7, "z", None)]
+
+
 def removed(rows):
     seen, out = set(), {}
     for i, text in sorted(rows):
@@ -307,13 +345,22 @@ def test_near_vectors(spark):
 def test_tiles_and_cells(spark, monkeypatch):
     import evidentia.llm.embed_dedup as E
 
-    monkeypatch.setattr(E, "TILE", 7)
     rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(size=3)], 1) for i in range(150)]
-    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
-    u = np.array([r[1] for r in rows])
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    assert [got[i] for i in range(150)] == ((u @ u.T >= 0.98).sum(1) - 1).tolist()
+    for tile, length, n in ((7, 3, 150), (16, 12, 300)):
+        monkeypatch.setattr(E, "TILE", tile)
+        base = rng.normal(size=(n, length))
+        base[n // 2 :] = base[: n - n // 2] + rng.normal(size=(n - n // 2, length)) * 0.08
+        rows = [(i, [float(x) for x in v], int(i % 5 == 0)) for i, v in enumerate(base)]
+        got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+        u, label = base / np.linalg.norm(base, axis=1, keepdims=True), np.arange(n) % 5 == 0
+        assert [got[i] for i in range(n)] == (((u @ u.T >= 0.98) & (label[:, None] == label)).sum(1) - 1).tolist() and sum(got.values()) > 0
+
+
+def test_repeated_ids_of_unequal_vectors(spark):
+    """Rows that share an id are rows of their own: each has its own label, vector, links and component."""
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.01]), (1, "b", [0.0, 1.0]), (4, "b", [1.0, 0.0]), (3, "a", [0.0, 2.0]), (1, "a", [0.0, 1.0])]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 0, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
 
 
 def test_linked_pairs_stop_early():
