@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm.common import table, written
+from evidentia.llm.common import forget_but, table, tables, written
 from evidentia.llm.minhash import without_near_copies
 from evidentia.llm.packing import pack
 from evidentia.llm.suffix_dedup import without_repeats
@@ -45,8 +45,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a data folder; each but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of a data folder; each but the last is written and read again.
+
+    What a stage wrote on its way, and its input, are removed as soon as its result is written.
+    """
+    before, docs = tables(), table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        forget_but(spark, before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
