@@ -133,6 +133,66 @@ def test_page_text_by_scores_beside_and_inside_articles():
     assert extract("<body><article><p>no marks at all in here</p></article></body>") == "no marks at all in here"
 
 
+def laid_out_pages(n=30):
+    """(html, main text) of pages without article elements, in several layouts, their content marked by hand."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(6, 16))).capitalize() + rng.choice([".", ".", "!", "; and so on."])
+    for i in range(n):
+        paragraphs = [" ".join(sentence() for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(4, 9))]
+        title = " ".join(word() for _ in range(5)).capitalize()
+        menu = "".join(f"<li><a href=/{word()}>{word()} {word()}</a>" for _ in range(rng.randint(5, 12)))
+        side = "".join(f"<li><a href=x>{sentence()}</a></li>" for _ in range(3))
+        body = "".join(f"<p>{p}" + rng.choice(["", "</p>"]) for p in paragraphs)
+        wrap = [("<div class=post>", "</div>"), ("<table><tr><td width=70%>", "</table>"), ("<div id=c><div><section>", "</section></div></div>"), ("<center>", "</center>"), ("", "")][i % 5]
+        head = rng.choice([f"<h1>{title}</h1>", f"<h2><b>{title}</b></h2>"])
+        junk = f"<div id=top><ul>{menu}</ul></div>", f"<div class='box'><ul>{side}</ul></div>", f"<div id=bottom><a href=a>{word()}</a> | <a href=b>{word()}</a></div>"
+        comments = rng.choice(["", f"<div id='comments'><p>{sentence()}</p></div>"])
+        yield f"<html><head><title>{title}</title><body>{junk[0]}{wrap[0]}{head}{body}{wrap[1]}{junk[1]}{comments}{junk[2]}", "\n\n".join([title, *paragraphs])
+
+
+@pytest.mark.parametrize(("html", "want"), list(laid_out_pages()))
+def test_pages_without_article_elements(html, want):
+    assert extract(html) == want
+
+
+def test_the_scores_decide(monkeypatch):
+    import evidentia.llm.html_extract as H
+
+    pages = [h for h, _ in laid_out_pages()] + [PAGE % "<article><h1>H</h1><p>One, two.</p></article>"]
+    before = [extract(h) for h in pages]
+    monkeypatch.setattr(H, "path_scores", lambda nodes: dict.fromkeys({n.path for n in nodes}, 0.0))
+    assert all(a and a != extract(h) for a, h in zip(before, pages, strict=True))
+
+
+def test_names_inside_the_article():
+    body = "<article><p>First of all, this.</p><p class=more>Second, that.</p><section class='related work'><p>Third, those.</p></section><div class=ad>Buy, now.</div><div class='share-bar'>Share, this.</div></article>"
+    assert extract(f"<body>{body}<div class=related><p>Other, things.</p></div></body>") == "First of all, this.\n\nSecond, that.\n\nThird, those."
+    assert extract("<div class=post><p>Real text one without marks</p><p>Real text two without marks</p></div>") == "Real text one without marks\n\nReal text two without marks"
+
+
+@pytest.mark.parametrize("html", ["<a " * 300_000, "<div>" * 300_000 + "x, y.", "<!" * 300_000, "</script " * 100_000, "<b><div>" + "<span>" * 50_000 + "</b>" * 50_000, "<" * 500_000, "<a b='" * 200_000, "<p =" * 200_000, "<script>" * 200_000, "<ul>" + "<li>a, b" * 100_000, "<x>" * 100_000 + "</y>" * 100_000])
+def test_odd_pages_take_linear_time(html):
+    import time
+    import tracemalloc
+
+    began = time.perf_counter()
+    extract(html)
+    assert time.perf_counter() - began < 20
+    tracemalloc.start()
+    extract(html[: len(html) // 4])
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_markup_as_browsers_read_it():
+    assert extract("<article><p title=\"a > b\">One, two.<p data-x=5\">Three, four.</p></article>") == "One, two.\n\nThree, four."
+    assert extract("<article><p>Kept, here.</p><svg><text>no</text></svg><noscript>no, no.</noscript><p>And, there.</article>") == "Kept, here.\n\nAnd, there."
+    assert extract("<article><p>Kept, here.</p><object><p>lost, too.</article><p>") == "Kept, here."
+    deep = "<div>" * 600 + "<nav>menu, one.</nav><p>Deep, text." + "</div>" * 600
+    assert extract(deep) == "Deep, text."
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE % "<article><p>x, y.</p></article>", "n"), (2, None, None, "n"), (None, "v", "", "n"), (3, "w", "<p>" + "long, text. " * 50_000, "n"), (4, "w", "<<<>>", "n"), (4, "w", "<script>", "n")]
     got = {(r["page_id"], r["url"]): (r["text"][:9], r["n_chars"]) for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
