@@ -3,7 +3,8 @@
 Documents of a part of the input become one block. A block sends one row per distinct pre-token
 with its postings (document, frequency). All rows of a pre-token meet in one sorted run, where
 its pieces are counted once and joined to the postings; the products are summed by document
-and go back to their blocks.
+and go back to their blocks. A frequent pre-token's long postings are dealt over all partitions,
+and each that gets some counts its pieces once.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from evidentia.llm.tokens import byte_bpe, token_file
 #: Bytes of text after which a block ends, documents that it holds at most, and pre-tokens after which it ends.
 BLOCK_BYTES, BLOCK_DOCS, BLOCK_WORDS = 32 << 20, 60_000, 8_000_000
 
-#: Postings that are summed at once.
-FLUSH = 4_000_000
+#: Postings that are summed at once, and bytes of a block's postings from which on a pre-token is dealt by block as well.
+FLUSH, HOT = 4_000_000, 256
 
 _ROWS = pa.schema([("block", pa.int64()), ("pretoken", pa.string()), ("postings", pa.binary())])
 _PAIR = np.dtype([("doc", "<u2"), ("freq", "<u2")])
@@ -163,7 +164,8 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
     path = tokenizer or token_file("byte_bpe_50k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_blocks(path), "block long, pretoken string, postings binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, F.coalesce("pretoken", F.col("block").cast("string"))).sortWithinPartitions("pretoken")
+    apart = F.when(F.col("pretoken").isNull() | (F.length("postings") > HOT), F.col("block"))
+    dealt = rows.repartition(parts, "pretoken", apart).sortWithinPartitions("pretoken")
     counted = dealt.mapInArrow(_joined(path), "block long, head boolean, sums binary")
     out = counted.groupBy("block").applyInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
