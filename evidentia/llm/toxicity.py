@@ -13,7 +13,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -139,26 +138,28 @@ def sample(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2, longe
     """The labelled texts to learn from: those whose crc32(doc_id) mod 4 is not `spare_rest`, bounded by SAMPLE and SAMPLE_CHARS; and the share of toxic ones among all of these.
 
     Which documents are taken depends on a hash of the id alone. Rows without an id, a text or a
-    label teach nothing; a document with several labels is taken once with the largest. Texts of
-    more than `longest` characters are left out, so that a few cannot use up SAMPLE_CHARS.
+    label teach nothing; a document with several labels is taken once with the largest, and one of
+    the texts of a repeated id. Texts of more than `longest` characters are left out, so that a few
+    cannot use up SAMPLE_CHARS. Lengths are looked at first and only the chosen texts are fetched.
     """
     order = F.xxhash64("doc_id", F.lit(29))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if spare_rest is not None:
         known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != spare_rest)
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    texts, marks = [], []
-    for label in (0, 1):
-        ids = known.where(F.col("toxic") == label).withColumn("o", order).orderBy("o", "doc_id").limit(SAMPLE)
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-        taken = rows.join(F.broadcast(ids), "doc_id").select("o", "text", F.length("text").alias("n")).orderBy("o", "text").limit(SAMPLE)
-        room = SAMPLE_CHARS
-        for row in taken.where(F.col("n") <= longest).toLocalIterator():
-            if (room := room - row["n"]) < 0:
-                break
-            texts.append(row["text"])
-            marks.append(label)
-    return texts, marks, n.get(1, 0) / sum(n.values()) if n else None
+    of = lambda label: known.where(F.col("toxic") == label).withColumn("o", order).orderBy("o", "doc_id").limit(SAMPLE)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= longest).withColumn("key", F.xxhash64("text"))
+    lengths = rows.join(F.broadcast(of(0).unionByName(of(1))), "doc_id").groupBy("toxic", "o", "doc_id").agg(F.min(F.struct("key", F.length("text").alias("n"))).alias("t"))
+    room, chosen = {0: SAMPLE_CHARS, 1: SAMPLE_CHARS}, []
+    for row in sorted(lengths.select("toxic", "o", "doc_id", "t.*").collect()):  # 2 * SAMPLE at most
+        room[row["toxic"]] -= row["n"]
+        if room[row["toxic"]] >= 0:
+            chosen.append((row["doc_id"], row["key"], row["toxic"], len(chosen)))
+    if not chosen:
+        return [], [], n.get(1, 0) / sum(n.values()) if n else None
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, key long, toxic int, place int")
+    taken = sorted(rows.join(F.broadcast(wanted), ["doc_id", "key"]).groupBy("place", "toxic").agg(F.first("text").alias("text")).collect())
+    return [r["text"] for r in taken], [r["toxic"] for r in taken], n.get(1, 0) / sum(n.values())
 
 
 def train(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2) -> ToxicityModel:
@@ -166,7 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, spare_rest: int | None = 2) -> Tox
     return fit(*sample(docs, labels, spare_rest))
 
 
-_SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("worst_start", pa.int64()), ("worst_end", pa.int64()), ("worst_score", pa.float64())])
+_SCORES = pa.schema(
+    [("doc_id", pa.int64()), ("score", pa.float64()), ("worst_start", pa.int64()), ("worst_end", pa.int64()), ("worst_score", pa.float64())]
+    + [("offending", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
 
 
 class _Scorer:
@@ -209,9 +212,11 @@ def noisy_or(p: np.ndarray) -> float:
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, locate: float = 0.3) -> DataFrame:
-    """doc_id, score and, from a score of `locate` on, the worst sentence's span and score, of every whole text.
+    """doc_id, score and, from a score of `locate` on, the worst sentence's span and score and all offending ones, of every whole text.
 
-    Empty and null texts score 0 and have no worst sentence. Nothing but the text is looked at.
+    A sentence offends if its own score reaches `locate`; of a document that only all sentences
+    together bring there, the worst does. Empty and null texts score 0 and have no sentence.
+    Nothing but the text is looked at.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -225,27 +230,27 @@ def score_documents(docs: DataFrame, model: ToxicityModel, locate: float = 0.3)
                 p = scorer.sentences(text)
                 whole = noisy_or(p)
                 if whole >= locate:
-                    at = int(p.argmax())
-                    start, end = next(islice(_SENTENCE.finditer(text), at, None)).span()
-                    rows.append((whole, start, end, float(p[at])))
+                    worst, spans = int(p.argmax()), sentence_spans(text)
+                    offending = [{"start": spans[i][0], "end": spans[i][1], "score": float(p[i])} for i in sorted({worst, *np.flatnonzero(p >= locate).tolist()})]
+                    rows.append((whole, *spans[worst], float(p[worst]), offending))
                 else:
-                    rows.append((whole, None, None, None))
-            yield from emit(_SCORES, [batch.column("doc_id"), *zip(*rows, strict=True)] if rows else [batch.column("doc_id"), [], [], [], []])
+                    rows.append((whole, None, None, None, None))
+            yield from emit(_SCORES, [batch.column("doc_id"), *zip(*rows, strict=True)] if rows else [batch.column("doc_id"), [], [], [], [], []])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, worst_start long, worst_end long, worst_score double")
+    return rows.mapInArrow(run, "doc_id long, score double, worst_start long, worst_end long, worst_score double, offending array<struct<start:long,end:long,score:double>>")
 
 
 def score_table(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted and the worst sentence's place of every document.
+    """doc_id, held_out, score, predicted, the worst sentence's place and all offending sentences of every document.
 
     held_out marks ids whose crc32 leaves 2 modulo 4; they are never learned from. A missing id
-    is not held out. Repeated rows are scored each. Without labels of both kinds the score is
-    the constant of the one kind, 0 without any.
+    is not held out. Repeated rows are scored each. Without labels of both kinds every sentence
+    has the score of the one kind, near 1 or near 0; an empty text still scores 0.
     """
     out = score_documents(docs, train(docs, labels))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score")
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score", "offending")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

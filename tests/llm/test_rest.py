@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -13,7 +15,7 @@ from evidentia.llm import queries
 from evidentia.llm.html_extract import extract, extract_pages
 from evidentia.llm.sharding import shard, shard_documents
 from evidentia.llm.topk import Blocks, top_k
-from evidentia.llm.toxicity import fit, noisy_or, score_table, sentence_spans, train, without_toxic
+from evidentia.llm.toxicity import BUCKETS, Features, fit, noisy_or, score_documents, score_table, sentence_spans, train, without_toxic
 
 
 def labelled(seed=1, n=600):
@@ -43,6 +45,11 @@ def test_toxicity_held_out_and_located(spark):
     assert right >= 0.95 * len(held)
     located = [i for i in held if rows[i][2] and by_id[i]["worst_start"] is not None]
     assert sum(any(w in rows[i][1][by_id[i]["worst_start"] : by_id[i]["worst_end"]] for w in ("grunk", "snarf", "blorp")) for i in located) >= 0.9 * len(located) > 10
+    for r in got:
+        assert (r["offending"] is None) == (r["score"] < 0.3)
+        assert r["offending"] is None or (r["worst_start"], r["worst_end"], r["worst_score"]) in [tuple(s) for s in r["offending"]] and all(s["score"] >= min(0.3, r["worst_score"]) for s in r["offending"])
+    two = score_documents(docs.limit(0).unionByName(spark.createDataFrame([(1, "word1 word2. grunk word3. word4 word5. word7 snarf.", "")], docs.schema)), train(docs, labels)).first()
+    assert [("word1 word2. grunk word3. word4 word5. word7 snarf."[s["start"] : s["end"]]).strip() for s in two["offending"]] == ["grunk word3.", "word7 snarf."]
     assert by_id[10_000]["score"] == 0 and by_id[10_001]["predicted"] == 0 and by_id[None]["held_out"] is False
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
     kept = without_toxic(docs, labels)
@@ -58,6 +65,44 @@ def test_toxicity_without_lessons(spark):
     assert noisy_or(np.array([0.5, 0.5])) == 0.75 and sentence_spans("A b. C!\nd") == [(0, 4), (4, 7), (8, 9)]
 
 
+def test_training_lowers_the_plain_noisy_or_loss():
+    """The fitted weights against a plain computation of the loss of documents, sentence by sentence."""
+    rows = labelled(5, 250)
+    texts, marks = [t for _, t, _ in rows], [k for _, _, k in rows]
+    model, features = fit(texts, marks), Features()
+
+    def loss(weights, bias):
+        total = 0.0
+        for text, mark in zip(texts, marks, strict=True):
+            none = 1.0
+            for a, b in sentence_spans(text):
+                z = bias + sum(weights[i] for i in {i for w in set(re.findall(r"\w+", text[a:b].lower())) for i in features.of(w)})
+                none *= 1 - 1 / (1 + math.exp(-z))
+            whole = min(max(1 - none, 1e-9), 1 - 1e-9)
+            total -= math.log(whole) if mark else math.log(1 - whole)
+        return total / len(texts)
+
+    own = loss(model.weights, model.bias)
+    assert own < 0.1 * loss(np.zeros(BUCKETS), math.log(0.04))
+    used = np.flatnonzero(model.weights)
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        other = model.weights.copy()
+        other[used] += rng.normal(size=len(used)) * 2
+        assert loss(other, model.bias) > own
+
+
+def test_sample_reads_lengths_first(spark, monkeypatch):
+    import evidentia.llm.toxicity as T
+
+    monkeypatch.setattr(T, "SAMPLE_CHARS", 12)
+    docs = spark.createDataFrame([(i, "x" * 5) for i in range(6)] + [(0, "y" * 5)] * 3 + [(7, "z" * 100), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    texts, marks, share = T.sample(docs, labels, None, longest=50)
+    assert sorted(marks) == [0, 0, 1, 1] and set(map(len, texts)) == {5} and share == 4 / 9
+    assert T.sample(docs.where("1 = 0"), labels, None)[:2] == ([], [])
+
+
 def test_held_out_labels_teach_nothing(spark):
     rows = labelled(3, 200)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
