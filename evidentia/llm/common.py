@@ -136,6 +136,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The same rows as a table that is dealt by the key, so that joins with it shuffle the other side alone."""
+    spark = df.sparkSession
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
+    path = f"{checkpointing(spark).rstrip('/')}/tables/{name}"
+    _TABLES.append(path)
+    with shuffles_dropped(spark):
+        df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(f"evidentia_{name}", format="parquet")
+    return spark.table(f"evidentia_{name}")
+
+
 def tables() -> set[str]:
     """The folders of all tables that are still there."""
     return set(_TABLES)
@@ -143,6 +154,8 @@ def tables() -> set[str]:
 
 def forget(spark: SparkSession, paths: set[str]) -> None:
     """Remove tables whose rows are in another one by now."""
+    for path in sorted(paths):
+        spark.sql(f"DROP TABLE IF EXISTS evidentia_{path.rsplit('/', 1)[1]}")
     deleted(spark, sorted(paths))
     _TABLES[:] = [t for t in _TABLES if t not in paths]
 

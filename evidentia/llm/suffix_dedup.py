@@ -13,9 +13,10 @@ The work is divided by content. Each window has an anchor: the leftmost of its g
 bytes with the least hash, which depends on the window's bytes alone. Equal windows have equal
 anchors, so all suffixes with one anchor hash meet in one place and nowhere else. The windows of
 one anchor are neighbours and form a segment. A segment whose anchor hash occurs nowhere else
-can hold no repeat, so it never leaves its text. The others' bytes are fetched; each Arrow batch
-of texts is a batch of a family, and only what is new in it goes on, to the family of its anchor
-hashes, where all batches meet in the order of documents.
+can hold no repeat, so it never leaves its text. The others' bytes are fetched and go to the
+family of their anchor hashes, where all batches meet in the order of documents. Stores take
+equal texts once: of segments with equal bytes only the first leaves a batch of texts, and an
+anchor hash all of whose segments have equal bytes needs no suffix array.
 
 Anchor hashes that very many documents have, such as that of a short line in a third of them,
 are looked for in a sample; their segments go on as single windows, dealt by a hash of their
@@ -36,9 +37,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm.common import PIECE, byte_rows, emit, prefix_hash, ship, span_hash, written
+from evidentia.llm.common import PIECE, bucketed, byte_rows, emit, prefix_hash, ship, span_hash, written
 
-SPAN, GRAM = 100, 32
+SPAN, GRAM = 100, 24
 #: Windows that can share an anchor.
 _SHARE = SPAN - GRAM + 1
 _LOW = np.uint64((1 << 23) - 1)
@@ -284,7 +285,7 @@ _FETCHED_SQL = "key long, part long, ord long, rid long, start long, end long, d
 
 
 def _fetched(frequent: np.ndarray):
-    """What is new in each batch of texts among their asked segments, as bytes; and the spans of what is not.
+    """The bytes of the asked segments of texts, of equal ones in a batch those of the first; and the spans of the others.
 
     Segments of frequent anchor hashes go on as single windows. A row with an `end` is a span.
     """
@@ -297,39 +298,45 @@ def _fetched(frequent: np.ndarray):
             keys, ats = (asks.flatten().field(n).to_numpy() for n in ("key", "at"))
             row = np.repeat(np.arange(len(rids)), np.diff(first))
             begin, count = ats >> 8, (ats & 255) >> 1
+            often = np.isin(keys, frequent)
+            if often.any():  # a segment as its windows
+                n = np.where(often, count, 1)
+                item = np.repeat(np.arange(len(row)), n)
+                begin = begin[item] + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+                keys, row, count, often = keys[item], row[item], np.where(often, 1, count)[item], often[item]
             sort = np.lexsort((begin, rids[row], orders[row], rids[row] >> TURN))
-            keys, row, begin, count = keys[sort], row[sort], begin[sort], count[sort]
-            family, ends = SuffixFamily(), np.cumsum(count)
-            for a, b in _chunks(ends, FAMILY):
-                data = [bytes(texts[r][s : s + c - 1 + SPAN]) for r, s, c in zip(row[a:b].tolist(), begin[a:b].tolist(), count[a:b].tolist(), strict=True)]
-                if len(family) > FAMILY:
-                    family = SuffixFamily()
-                found = _compared_batch(family, data)
-                owner = np.repeat(np.arange(a, b), count[a:b])
-                place = np.arange(len(owner)) - np.repeat(ends[a:b] - count[a:b] - (ends[a] - count[a]), count[a:b]) + begin[owner]
-                if found.any():
-                    r, s, e = merged(row[owner[found]], place[found], place[found] + SPAN)
-                    yield from emit(_FETCHED, [rids[r], np.zeros(len(r), np.int64), orders[r], rids[r], s, e, pa.nulls(len(r), pa.binary())])
-                owner, place = owner[~found], place[~found]
-                often = np.isin(keys[owner], frequent)
-                new = np.append(True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | often[1:])[: len(owner)]
-                start = np.flatnonzero(new)
-                stop = np.append(start[1:], len(owner))[: len(start)]
-                owner, often, s, n = owner[start], often[start], place[start], stop - start
-                data = [bytes(texts[r][x : x + c - 1 + SPAN]) for r, x, c in zip(row[owner].tolist(), s.tolist(), n.tolist(), strict=True)]
-                part = np.array([int.from_bytes(hashlib.blake2b(d, digest_size=8).digest(), "little", signed=True) if o else 0 for d, o in zip(data, often.tolist(), strict=True)], np.int64)
-                yield from emit(_FETCHED, [keys[owner], part, orders[row[owner]], rids[row[owner]], s, pa.nulls(len(s), pa.int64()), data], 5_000)
+            keys, row, begin, count, often = keys[sort], row[sort], begin[sort], count[sort], often[sort]
+            data = [bytes(texts[r][s : s + c - 1 + SPAN]) for r, s, c in zip(row.tolist(), begin.tolist(), count.tolist(), strict=True)]
+            new = _firsts(data)
+            if not new.all():
+                r, s, e = merged(row[~new], begin[~new], (begin + count - 1 + SPAN)[~new])
+                yield from emit(_FETCHED, [rids[r], np.zeros(len(r), np.int64), orders[r], rids[r], s, e, pa.nulls(len(r), pa.binary())])
+            taken = np.flatnonzero(new)
+            part = np.zeros(len(taken), np.int64)
+            for i in np.flatnonzero(often[taken]).tolist():
+                part[i] = int.from_bytes(hashlib.blake2b(data[taken[i]], digest_size=8).digest(), "little", signed=True)
+            row = row[taken]
+            yield from emit(_FETCHED, [keys[taken], part, orders[row], rids[row], begin[taken], pa.nulls(len(taken), pa.int64()), [data[i] for i in taken.tolist()]], 5_000)
 
     return run
 
 
-def _chunks(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of items of about `most` in sum, from the running sums."""
-    at = 0
-    while at < len(ends):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield at, upto
-        at = upto
+def _firsts(data: list[bytes]) -> np.ndarray:
+    """Which of the byte strings did not come before."""
+    seen: set[bytes] = set()
+    return np.array([not (d in seen or seen.add(d)) for d in data], bool)
+
+
+def _alone(key: np.ndarray, part: np.ndarray, data: list[bytes]) -> np.ndarray:
+    """Which rows belong to an anchor hash (and part) that lies whole in the batch and whose bytes are all equal."""
+    new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+    run = np.cumsum(new) - 1
+    differs = np.zeros(int(run[-1]) + 1, bool)
+    differs[[0, -1]] = True  # these may go on in another batch
+    for i in np.flatnonzero(~new).tolist():
+        if data[i] != data[i - 1]:
+            differs[run[i]] = True
+    return ~differs[run]
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,6 +356,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key, part, rid, start = (batch.column(c).to_numpy() for c in ("key", "part", "rid", "start"))
         data = batch.column("data").to_pylist()
+        alone = _alone(key, part, data)
+        again = alone.copy()
+        again[1:] &= (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+        again[0] = False
+        if again.any():
+            at = np.flatnonzero(again)
+            yield from emit(_SPANS, merged(rid[at], start[at], start[at] + [len(data[i]) for i in at.tolist()]))
+        kept = np.flatnonzero(~alone)
+        key, part, rid, start, data = key[kept], part[kept], rid[kept], start[kept], [data[i] for i in kept.tolist()]
         new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
         new[0] = (key[0], part[0]) != last
         last = key[-1], part[-1]
@@ -430,18 +446,16 @@ class RepeatFamily:
         number = F.monotonically_increasing_id()
         rid = F.when(number < (1 << TURN), number + F.lit(oldest)).otherwise(F.raise_error(F.lit("more input splits than row numbers can tell apart")).cast("long"))
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"), rid.alias("rid"))
-        texts = written(texts).where("rid is not null")  # every use sees the same numbers, through one exchange
+        texts = bucketed(texts, "rid")  # every use sees the same numbers
         rows = texts.select("rid", "text").mapInArrow(_cut, _ROWS_SQL)
         if not last:
             rows = written(rows)
         meeting = rows
         for level, _ in self.levels:
             meeting = meeting.unionByName(level)
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = texts.repartition(parts, "rid")  # one exchange serves both joins, and small inputs keep all cores busy
-        spans = self._spans([dealt, *self.texts], meeting, frequent_anchors(texts), oldest)
+        spans = self._spans([texts, *self.texts], meeting, frequent_anchors(texts), oldest)
         found = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-        joined = dealt.join(found, "rid", "left").select("doc_id", "rest", "text", "spans")
+        joined = texts.join(found.hint("merge"), "rid", "left").select("doc_id", "rest", "text", "spans")
         kind = texts.schema["rest"].dataType.simpleString()
         if not last:
             self._keep(texts.select("doc_id", "rid", "text"), rows)
@@ -453,10 +467,10 @@ class RepeatFamily:
         """(rid, start, end) of the repeats in texts from the row number `oldest` on."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.repartition(parts, F.when(F.col("at") < 0, F.col("rid")).otherwise(F.col("key"))).sortWithinPartitions("key", F.desc("rid"))
-        asked = dealt.mapInArrow(_asked(oldest), _ROWS_SQL).groupBy("rid").agg(F.collect_list(F.struct("key", "at")).alias("asked"))
+        asked = written(dealt.mapInArrow(_asked(oldest), _ROWS_SQL)).groupBy("rid").agg(F.collect_list(F.struct("key", "at")).alias("asked"))
         fetched = None
         for store in texts:
-            some = store.join(asked, "rid").mapInArrow(_fetched(frequent), _FETCHED_SQL)
+            some = store.select("doc_id", "rid", "text").join(asked.hint("merge"), "rid").mapInArrow(_fetched(frequent), _FETCHED_SQL)
             fetched = some if fetched is None else fetched.unionByName(some)
         order = ["key", "part", F.shiftright("rid", TURN), "ord", "rid", "start"]
         compared = fetched.repartition(parts, "key", "part").sortWithinPartitions(*order).mapInArrow(_compared, "rid long, start long, end long")
