@@ -44,8 +44,10 @@ def agreeing(percent: int) -> int:
 
 
 MATCHES = agreeing(85)
-#: Entries of a posting list in one cell, and shingles of a candidate group in one cell.
-LIST, SHINGLES = 1024, 1_500_000
+#: Entries of a posting list in one cell; classes and shingles of a candidate group in one cell, and classes where its leader is in each cell.
+LIST, GROUP, SHINGLES, STAR = 1024, 512, 500_000, 64
+#: Rows of a list up to which all are compared at once, without looking for rows to skip.
+FEW = 32
 
 #: Classes that frequent values are looked for in, times that a value must occur among them at least to be called frequent, and classes that have it then.
 SAMPLE, LEAST, OFTEN = 50_000, 64, 8192
@@ -135,7 +137,7 @@ def connected(signatures: np.ndarray, matches: int = MATCHES) -> tuple[np.ndarra
     compared with later ones.
     """
     alive = np.arange(len(signatures))
-    while len(alive) > 1:
+    while len(alive) > FEW:
         shared = np.zeros(len(alive), np.int32)
         for k in range(COORDINATES):
             _, inverse, counts = np.unique(signatures[alive, k], return_inverse=True, return_counts=True)
@@ -220,34 +222,40 @@ _POSTED = pa.schema([("node", pa.int64()), ("key", pa.int64())])
 _LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
 
-def _within(links, payload: str, decoded):
+def _within(links, payload: str, decoded, pairs=None):
     """Edges inside each cell of rows; and, as rows without `b`, the nodes of a first grid's cell that its leader does not reach.
 
-    `links` gives the edges (by place) of a spanning forest of decoded payloads. The rows of a cell
-    come sorted by key, cell and node, so that one node has one place. A node that is its key's
-    leader is marked by `lead`; only in lists of several cells there is one.
+    The rows of a cell come sorted by key, cell and node. `links` gives the edges (by place) of a
+    spanning forest of some decoded payloads; `pairs` tells for many neighbours at once whether
+    they are linked, for cells of two. A node that is its key's leader is marked by `lead`; only in
+    lists of several cells there is one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_runs(batches, ["key", "across", "along"]):
-            key, node, lead = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "lead"))
-            raw = table.column(payload)
-            out: list[list[np.ndarray]] = [[], [], []]
-            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+            key, node, lead = table.column("key").to_numpy(), table.column("node").to_numpy(), table.column("lead").to_numpy() > 0
+            rows = decoded(table.column(payload).to_pylist())
+            ends = np.append(starts[1:], len(node))
+            out: list[list[np.ndarray]] = [[node[:0]], [node[:0]], [node[:0]]]
+            many = ends - starts > 1
+            if pairs is not None:
+                two = (ends - starts == 2) & ~lead[starts] & ~lead[ends - 1]
+                many &= ~two
+                at = starts[two]
+                hit = at[(node[at] != node[at + 1]) & pairs(rows, at)]
+                for column, values in zip(out, (node[hit], node[hit + 1], np.zeros(len(hit), np.int64)), strict=True):
+                    column.append(values)
+            for i, j in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
                 own, first = np.unique(node[i:j], return_index=True)
                 if len(own) == 1:
                     continue
-                a, b = links(decoded(raw.slice(i, j - i).take(pa.array(first)).to_pylist()))
-                out[0].append(own[a])
-                out[1].append(own[b])
-                out[2].append(np.zeros(len(a), np.int64))
-                if lead[i:j].any():
-                    rest = own[~_reached(int(np.flatnonzero(lead[i:j][first])[0]), a, b, len(own))]
-                    out[0].append(rest)
-                    out[1].append(np.full(len(rest), -1))
-                    out[2].append(np.full(len(rest), key[i]))
-            if out[0]:
-                a, b, k = map(np.concatenate, out)
+                a, b = links(rows[i:j] if len(own) == j - i else [rows[i + f] for f in first.tolist()])
+                led = lead[i:j][first]
+                rest = own[~_reached(int(np.flatnonzero(led)[0]), a, b, len(own))] if led.any() else own[:0]
+                for column, values in zip(out, (np.append(own[a], rest), np.append(own[b], np.full(len(rest), -1)), np.full(len(a) + len(rest), key[i])), strict=True):
+                    column.append(values)
+            a, b, k = map(np.concatenate, out)
+            if len(a):
                 yield from emit(_LINKED, [a, pa.array(b, mask=b < 0), k])
 
     return run
@@ -267,26 +275,27 @@ def _reached(start: int, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def _connected_in_cells(rows: DataFrame, sizes: DataFrame, payload: DataFrame, name: str, function) -> DataFrame:
     """Edges (a, b) that connect within each key all nodes that links connect.
 
-    `rows` has key and node, `sizes` for each key of two nodes or more its leader (a node of it)
-    and the number of its cells, `payload` what is compared of each node. In lists of several cells
-    the leader is in each. Nodes that their cell does not connect with it meet all nodes of the
-    list in a grid, across by themselves and along with the others.
+    `rows` has key and node, `payload` what is compared of each node. `sizes` has, for each key of
+    two nodes or more, its size (of nodes), its leader (one of them), the number of its cells and
+    of the coarser ones of a grid. In lists of several cells the leader is in each. Nodes that
+    their cell does not connect with it meet all nodes of the list in a grid, across by themselves
+    and along with the others.
     """
     spread = lambda salt, into: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(into)).cast("int")
     every = lambda into: F.sequence(F.lit(0), F.col(into) - 1)
     columns = ["key", "across", "along", "node", "lead"]
-    dealt = rows.join(sizes, "key").withColumn("lead", (F.col("cells") > 1) & (F.col("node") == F.col("leader")))
-    dealt = dealt.withColumn("along", F.explode(F.when(F.col("lead"), every("cells")).otherwise(F.array(spread(7, "cells"))))).withColumn("across", F.lit(0))
+    dealt = rows.join(sizes, "key").withColumn("lead", ((F.col("cells") > 1) & (F.col("node") == F.col("leader"))).cast("int"))
+    dealt = dealt.withColumn("along", F.explode(F.when(F.col("lead") > 0, every("cells")).otherwise(F.array(spread(7, "cells"))))).withColumn("across", F.lit(0))
     schema = "a long, b long, key long"
-    compared = lambda cells: sorted_runs(cells.select(*columns).join(payload, "node").select(*columns, name), ["key", "across", "along"], function, schema, ["node"])
+    compared = lambda cells: sorted_runs(cells.select(*columns).join(payload.hint("merge"), "node").select(*columns, name), ["key", "across", "along"], function, schema, ["node"])
     first = written(compared(dealt))
     rest = first.where("b is null").select("key", F.col("a").alias("node"))
     if rest.isEmpty():
         return first.select("a", "b")
-    left = rest.groupBy("key").agg(F.count("*").alias("n")).join(sizes.select("key", "cells", "size"), "key")
-    left = left.select("key", "cells", F.ceil(F.col("n") * F.col("cells") / F.col("size")).cast("int").alias("rows"), F.lit(False).alias("lead"))
-    along = rows.join(left, "key").withColumns({"along": spread(7, "cells"), "across": F.explode(every("rows"))})
-    across = rest.join(left, "key").withColumns({"across": spread(13, "rows"), "along": F.explode(every("cells"))})
+    left = rest.groupBy("key").agg(F.count("*").alias("n")).join(sizes.select("key", "coarse", "size"), "key")
+    left = left.select("key", "coarse", F.ceil(F.col("n") * F.col("coarse") / F.col("size")).cast("int").alias("rows"), F.lit(0).alias("lead"))
+    along = rows.join(left, "key").withColumns({"along": spread(7, "coarse"), "across": F.explode(every("rows"))})
+    across = rest.join(left, "key").withColumns({"across": spread(13, "rows"), "along": F.explode(every("coarse"))})
     return first.where("b is not null").select("a", "b").unionByName(compared(along.select(*columns).unionByName(across.select(*columns))).select("a", "b"))
 
 
@@ -346,8 +355,11 @@ def _candidate_groups(classes: DataFrame, matches: int) -> DataFrame:
     """(node, candidates): classes whose signatures are connected by enough agreeing coordinates."""
     frequent = frequent_values(classes, classes.count())
     posted = classes.select("node", "signature").mapInArrow(_posted(frequent, matches), "node long, key long")
-    sizes = posted.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1").withColumn("cells", F.ceil(F.col("size") / LIST).cast("int"))
-    links = _within(lambda found: connected(found, matches), "signature", lambda raw: np.frombuffer(b"".join(raw), np.uint32).reshape(-1, COORDINATES))
+    sizes = posted.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1").withColumn("cells", F.ceil(F.col("size") / LIST).cast("int")).withColumn("coarse", F.col("cells"))
+    links = _within(
+        lambda found: connected(np.asarray(found), matches), "signature", lambda raw: np.frombuffer(b"".join(raw), np.uint32).reshape(-1, COORDINATES),
+        lambda found, at: (found[at] == found[at + 1]).sum(1) >= matches,
+    )
     edges = _connected_in_cells(posted, sizes, classes.select("node", "signature"), "signature", links)
     return components(edges).select("node", F.col("component").alias("candidates"))
 
@@ -356,10 +368,10 @@ def _linked(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(node, component) by links that are confirmed on the full sets of the candidates' texts."""
     rows = members.select(F.col("candidates").alias("key"), "node")
     sizes = members.groupBy(F.col("candidates").alias("key")).agg(F.sum("n_shingles").alias("size"), F.min("node").alias("leader"), F.count("*").alias("nodes"))
-    cells = F.least(F.ceil(F.col("size") / SHINGLES), F.col("nodes")).cast("int")
-    sizes = sizes.where("nodes > 1").select("key", F.col("nodes").alias("size"), "leader", cells.alias("cells"))
+    cells = lambda most: F.least(F.greatest(F.ceil(F.col("size") / SHINGLES), F.ceil(F.col("nodes") / most)), F.col("nodes")).cast("int")
+    sizes = sizes.where("nodes > 1").select("key", F.col("nodes").alias("size"), "leader", cells(STAR).alias("cells"), cells(GROUP).alias("coarse"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    told = members.select("node", "rep", "text_key").join(texts, "rep").where(F.xxhash64("text") == F.col("text_key")).dropDuplicates(["node"])
+    told = texts.join(members.select("node", "rep", "text_key").hint("merge"), "rep").where(F.xxhash64("text") == F.col("text_key")).dropDuplicates(["node"])
     sets = written(told.select("node", "text").mapInArrow(_sets, "node long, shingles binary"))
     links = _within(lambda found: alike(found, percent), "shingles", lambda raw: [np.frombuffer(x, np.uint64) for x in raw])
     return components(_connected_in_cells(rows, sizes, sets, "shingles", links))

@@ -145,7 +145,8 @@ def test_near_documents_with_a_common_passage(spark, monkeypatch):
 
     monkeypatch.setattr(M, "LIST", 12)
     monkeypatch.setattr(M, "OFTEN", 12)
-    monkeypatch.setattr(M, "SHINGLES", 300)
+    monkeypatch.setattr(M, "SHINGLES", 900)
+    monkeypatch.setattr(M, "STAR", 6)
     monkeypatch.setattr(M, "LEAST", 12)
     passage = " ".join(f"common{i}" for i in range(40))
     texts = [f"{t} {passage}" for t in near_copies(5) if t] + [" ".join(f"hot{i}" for i in range(60)) + f" {n}" for n in range(40)]
@@ -164,7 +165,7 @@ def test_cells_of_long_lists(spark, monkeypatch):
     value = {n: rng.randrange(3) * 1000 + rng.randrange(60) for n in range(400)}
     rows = spark.createDataFrame([(n % 2, n) for n in value], "key long, node long")
     payload = spark.createDataFrame(list(value.items()), "node long, value long")
-    sizes = rows.groupBy("key").agg(M.F.count("*").alias("size"), M.F.min("node").alias("leader")).withColumn("cells", M.F.ceil(M.F.col("size") / 9).cast("int"))
+    sizes = rows.groupBy("key").agg(M.F.count("*").alias("size"), M.F.min("node").alias("leader")).withColumn("cells", M.F.ceil(M.F.col("size") / 9).cast("int")).withColumn("coarse", M.F.ceil(M.F.col("size") / 30).cast("int"))
 
     def near(values):
         x = np.array(values)
