@@ -132,7 +132,7 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpointing(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     _TABLES.append(path)
     with shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -143,7 +143,7 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     path = f"{checkpointing(spark).rstrip('/')}/tables/{name}"
     _TABLES.append(path)
     with shuffles_dropped(spark):
-        df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(f"evidentia_{name}", format="parquet")
+        df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).saveAsTable(f"evidentia_{name}", format="parquet")
     return spark.table(f"evidentia_{name}")
 
 

@@ -467,7 +467,7 @@ class RepeatFamily:
         """(rid, start, end) of the repeats in texts from the row number `oldest` on."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.repartition(parts, F.when(F.col("at") < 0, F.col("rid")).otherwise(F.col("key"))).sortWithinPartitions("key", F.desc("rid"))
-        asked = written(dealt.mapInArrow(_asked(oldest), _ROWS_SQL)).groupBy("rid").agg(F.collect_list(F.struct("key", "at")).alias("asked"))
+        asked = bucketed(dealt.mapInArrow(_asked(oldest), _ROWS_SQL), "rid").groupBy("rid").agg(F.collect_list(F.struct("key", "at")).alias("asked"))
         fetched = None
         for store in texts:
             some = store.select("doc_id", "rid", "text").join(asked.hint("merge"), "rid").mapInArrow(_fetched(frequent), _FETCHED_SQL)
