@@ -44,7 +44,7 @@ SPAN, GRAM = 100, 24
 _SHARE = SPAN - GRAM + 1
 _LOW = np.uint64((1 << 23) - 1)
 #: Windows in a batch of a family, and windows from which on a family is closed at the next anchor hash.
-BATCH, FAMILY = 1 << 16, 1 << 18
+BATCH, FAMILY = 1 << 15, 1 << 17
 #: Documents that frequent anchor hashes are looked for in at most, times that one must occur among them, and hashes that are kept at most.
 SAMPLE, LEAST, HELD = 20_000, 32, 100_000
 #: Bits of a row number that tell the batch of documents.
