@@ -24,20 +24,21 @@ def starts(text: str, part: str) -> list[int]:
 
 
 def locate(text: str, start: int, end: int) -> dict:
-    """The quote with as few whole words around it as make it unique, taken by turns before and behind."""
-    exact = text[start:end]
+    """The quote with as few whole words as make it unique, one more on each side a step; a word that the quote cuts counts as one.
+
+    Only the places that the words so far allow are looked at again, so a step costs their number.
+    """
     if not 0 <= start < end <= len(text):
         return {"exact": None, "prefix": None, "suffix": None, "reason": "out_of_bounds"}
-    before = [m.start() for m in _WORD.finditer(text, 0, start)]
-    behind = [m.end() for m in _WORD.finditer(text, end)]
-    left, right = start, end
-    while len(starts(text, text[left:right])) > 1:
-        if not before and not behind:
-            return {"exact": exact, "prefix": text[left:start], "suffix": text[end:right], "reason": "ambiguous_occurrence"}
-        if before:
-            left = before.pop()
-        if behind and len(starts(text, text[left:right])) > 1:
-            right = behind.pop(0)
+    exact = text[start:end]
+    lefts = [m.start() for m in _WORD.finditer(text, 0, start)][::-1]
+    rights = (m.end() for m in _WORD.finditer(text, end))
+    left, right, rivals, step = start, end, [p for p in starts(text, exact) if p != start], 0
+    while rivals:
+        left = lefts[step] if step < len(lefts) else 0
+        right = next(rights, len(text))
+        before, behind, step = text[left:start], text[end:right], step + 1
+        rivals = [p for p in rivals if text.endswith(before, 0, p) and text.startswith(behind, p + len(exact))]
     return {"exact": exact, "prefix": text[left:start], "suffix": text[end:right], "reason": None}
 
 

@@ -73,16 +73,43 @@ def draws(spark, clusters: list[str], seed: int, resamples: int) -> DataFrame:
     return spark.createDataFrame(rows, "resample int, cluster string, times int")
 
 
-def bootstrap(sums: DataFrame, drawn: DataFrame, statistic: Column, level: float = 0.9) -> DataFrame:
-    """Percentile interval of a statistic of summed columns, each cluster's sums taken as often as it was drawn.
+def bootstrap(sums: DataFrame, drawn: DataFrame, statistic: Column, level: float = 0.9, most_undefined: float = 1.0) -> DataFrame:
+    """The statistic over all clusters (`point`) and its percentile interval, each cluster's sums taken as often as it was drawn.
 
     sums: cluster and numeric columns; the statistic is a column expression over those names.
-    Undefined resamples are left out of the interval and counted.
+    Undefined resamples are left out of the interval and counted; if their share is over
+    `most_undefined`, or all are undefined, the bounds are null.
     """
     names = [c for c in sums.columns if c != "cluster"]
     summed = drawn.join(sums, "cluster").groupBy("resample").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in names]).select("resample", statistic.alias("value"))
     tail = (1 - level) / 2
-    return summed.agg(F.count("value").alias("n_defined"), F.count_if(F.col("value").isNull()).alias("n_undefined"), F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"))
+    n, undefined = F.count("value"), F.count_if(F.col("value").isNull())
+    bound = lambda share: F.when((n > 0) & (undefined <= most_undefined * (n + undefined)), F.percentile("value", share))
+    point = sums.agg(*[F.sum(c).alias(c) for c in names]).select(statistic.alias("point"))
+    return summed.agg(n.alias("n_defined"), undefined.alias("n_undefined"), bound(tail).alias("low"), bound(1 - tail).alias("high")).crossJoin(F.broadcast(point))
+
+
+def judge_agreement(targets: DataFrame, seed: int, resamples: int, level: float = 0.9, most_undefined: float = 1.0) -> DataFrame:
+    """Cohen's kappa and Gwet's AC1 of verdicts against labels, each with its interval by events; and the labels and uncertain verdicts behind them.
+
+    targets: event_id, label (0, 1 or null), verdict (0 or 1), uncertain. Targets without a label
+    are left out, and with them events that have none; only labelled targets' uncertain verdicts
+    count. Events are those of an evaluation, some hundreds.
+    """
+    known = targets.where("label is not null")
+    one = lambda c: F.sum(c.cast("long"))
+    both, mine, its = F.col("verdict") == F.col("label"), F.col("verdict") == 1, F.col("label") == 1
+    sums = known.groupBy(F.col("event_id").alias("cluster")).agg(F.count("*").alias("n"), one(both).alias("same"), one(mine).alias("first"), one(its).alias("second"))
+    observed, first, second = (ratio(F.col(c), F.col("n")) for c in ("same", "first", "second"))
+    chance, mean = first * second + (1 - first) * (1 - second), (first + second) / 2
+    gwet = 2 * mean * (1 - mean)
+    drawn = draws(targets.sparkSession, [r["cluster"] for r in sums.select("cluster").collect()], seed, resamples)
+    counted = known.agg(F.count("*").alias("n_labels"), F.coalesce(F.sum(F.col("uncertain").cast("long")), F.lit(0)).alias("n_uncertain"))
+    out = None
+    for name, value in (("kappa", ratio(observed - chance, F.when(chance != 1, 1 - chance))), ("ac1", ratio(observed - gwet, 1 - gwet))):
+        row = bootstrap(sums, drawn, value, level, most_undefined).withColumn("measure", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out.crossJoin(F.broadcast(counted))
 
 
 def calibrate(scored: DataFrame, cutoffs: list[float], least_recall: float, keys: list[str]) -> DataFrame:

@@ -43,13 +43,21 @@ def contains_any(text: Column, *phrases: str) -> Column:
     return out
 
 
+#: Headings of safe-harbor sections. (Fixed values.)
+SAFE_HARBOR_HEADINGS = ["forward-looking statements", "forward-looking information", "safe harbor", "cautionary statement", "cautionary note"]
 #: Phrases of the boilerplate classes. (Fixed values.)
 LITIGATION = ["private securities litigation reform act"]
 FORWARD, FORWARD_WITH = "forward-looking statements", ["risks", "uncertainties", "undue reliance", "actual results"]
-NON_GAAP, NON_GAAP_WITH = "non-gaap", ["not a substitute", "in isolation", "not prepared in accordance", "limitations", "supplement"]
-TRADEMARK = ["trademark", "all rights reserved", "license", "copyright"]
+NON_GAAP, NON_GAAP_WITH = "non-gaap", ["in accordance with", "substitute for", "in isolation", "not be considered"]
+TRADEMARK = ["registered trademark", "trademarks of"]
 FILED, FILED_WITH = "shall not be deemed", "filed"
-SOLICITATION = ["offer to sell", "solicitation of an offer"]
+SOLICITATION = ["does not constitute an offer", "where to find it", "participants in the solicitation"]
+
+
+def heading_boilerplate(text: Column) -> Column:
+    """The class that a heading opens, null for none."""
+    t = F.lower(text)
+    return F.when(contains_any(t, *SAFE_HARBOR_HEADINGS), "safe_harbor").when(t.contains(NON_GAAP), "non_gaap_disclaimer")
 
 
 def boilerplate(text: Column) -> Column:
@@ -138,20 +146,24 @@ def exhibit_numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\.0+([0-9])", ".$1")))
 
 
-#: Legal forms that name tokens leave out. (Fixed values.)
-LEGAL_FORMS = ["inc", "incorporated", "corp", "corporation", "co", "company", "companies", "ltd", "limited", "llc", "lp", "plc", "sa", "nv", "ag", "the", "class", "common", "stock"]
+#: Legal forms and connectives that say nothing about who a name is. (Fixed values.)
+LEGAL_FORMS = ["and", "co", "companies", "company", "corp", "corporation", "inc", "incorporated", "limited", "llc", "ltd", "plc", "the"]
 
 
 def name_tokens(name: Column, fold: bool = True) -> Column:
-    """Lower-case words of a name without parentheses and legal forms; & counts as and."""
+    """Lower-case words of a name without parentheses and apostrophes; & counts as and."""
     plain = _ascii_folded(name) if fold else name
-    clean = F.regexp_replace(F.regexp_replace(F.lower(plain), r"\([^)]*\)", " "), "&", " and ")
-    words = F.regexp_extract_all(clean, F.lit(r"([a-z0-9]+)"), 1)
-    return F.array_except(words, F.array(*[F.lit(x) for x in LEGAL_FORMS]))
+    clean = F.replace(F.regexp_replace(F.lower(plain), r"\([^)]*\)", " "), F.lit("'"), F.lit(""))
+    return F.array_distinct(F.regexp_extract_all(F.replace(clean, F.lit("&"), F.lit(" and ")), F.lit(r"([a-z0-9]+)"), 1))
+
+
+def significant(tokens: Column) -> Column:
+    """The words of a name that another one must have to cover it."""
+    return F.array_except(tokens, F.array(*[F.lit(x) for x in LEGAL_FORMS]))
 
 
 def covers(tokens: Column, wanted: Column) -> Column:
-    """Whether all wanted tokens are there; nothing wanted covers nothing."""
+    """Whether all wanted (significant) tokens are there; nothing wanted covers nothing."""
     return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, tokens)) == 0)
 
 

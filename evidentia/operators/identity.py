@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from evidentia.functions.text import covers, name_tokens
+from evidentia.functions.text import covers, name_tokens, significant
 
 
 def token_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
@@ -33,8 +33,10 @@ def confirmed_registrants(securities: DataFrame, tickers: DataFrame, registrants
     securities: security_id, ticker, name. tickers: ticker, cik. registrants: cik, tickers (array), names (array).
     """
     hop = securities.join(tickers, "ticker", "left").join(registrants, "cik", "left")
-    wanted = hop.withColumn("wanted", name_tokens(F.col("name"), fold=False)).withColumn("lists", F.array_contains("tickers", F.col("ticker")))
-    named = wanted.select("*", F.explode_outer("names").alias("registrant_name")).withColumn("covering", covers(name_tokens(F.col("registrant_name"), fold=False), F.col("wanted")) | covers(F.col("wanted"), name_tokens(F.col("registrant_name"), fold=False)))
+    own = name_tokens(F.col("name"), fold=False)
+    wanted = hop.withColumns({"own": own, "wanted": significant(own), "lists": F.array_contains("tickers", F.col("ticker"))})
+    other = wanted.select("*", F.explode_outer("names").alias("registrant_name")).withColumn("other", name_tokens(F.col("registrant_name"), fold=False))
+    named = other.withColumn("covering", covers(F.col("other"), F.col("wanted")) | covers(F.col("own"), significant(F.col("other"))))
     per = named.groupBy("security_id").agg(F.collect_set(F.when(F.col("lists") & F.col("covering"), F.col("cik"))).alias("ok"), F.count("cik").alias("n"))
     reason = F.when(F.size("ok") == 1, None).when(F.size("ok") > 1, "several_registrants").when(F.col("n") == 0, "unknown_ticker").otherwise("unconfirmed")
     return per.select("security_id", F.when(F.size("ok") == 1, F.col("ok")[0]).alias("cik"), reason.alias("reason"))

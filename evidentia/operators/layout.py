@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from evidentia.functions.text import boilerplate, heading_boilerplate
 from evidentia.session import cut, ship
 
 #: Rows of two longs that a side may have to be broadcast.
@@ -34,6 +35,20 @@ def extended_until(rows: DataFrame, doc: str, position: str, opens: Column, clos
     return rows.withColumn(name, F.last(state, ignorenulls=True).over(over)["v"])
 
 
+def boilerplate_masks(elements: DataFrame, doc: str = "doc_id", position: str = "position") -> DataFrame:
+    """Headings, paragraphs, list items and footnotes that are boilerplate, with their category.
+
+    A heading of a boilerplate section masks itself and the blocks behind it up to the next heading
+    or table; page artifacts and other elements neither stop it nor are masked. Any other block is
+    masked by its own phrases. Needs type and text.
+    """
+    kind = F.col("type")
+    opens = (kind == "heading") & heading_boilerplate(F.col("text")).isNotNull()
+    held = extended_until(elements, doc, position, opens, kind.isin("heading", "table"), heading_boilerplate(F.col("text")), "__held")
+    out = held.withColumn("category", F.coalesce("__held", boilerplate(F.col("text")))).drop("__held")
+    return out.where(kind.isin("heading", "paragraph", "list_item", "footnote") & F.col("category").isNotNull())
+
+
 def packed_windows(blocks: DataFrame, doc: str, position: str, size: str, budget: int | None) -> DataFrame:
     """(doc, position, window): whole blocks in order, a new window whenever the next would pass the budget; a block over it stands alone.
 

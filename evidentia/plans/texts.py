@@ -83,13 +83,13 @@ def name_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names that another part's name covers with all its words."""
     ship(spark)
     named = table(spark, sf_dir, "part").select("p_partkey", T.name_tokens(F.col("p_name"), fold=False).alias("tokens"))
-    types = table(spark, sf_dir, "part").select(T.name_tokens(F.lower(F.element_at(F.split("p_name", " "), 1)), fold=False).alias("wanted")).distinct()
+    types = table(spark, sf_dir, "part").select(T.significant(T.name_tokens(F.element_at(F.split("p_name", " "), 1), fold=False)).alias("wanted")).distinct()
     hits = named.join(types, T.covers(F.col("tokens"), F.col("wanted")))
     return hits.groupBy("p_partkey").agg(F.count("*").alias("n_covered"), F.array_join(F.array_sort(F.collect_set(F.array_join("wanted", " "))), ",").alias("covered"))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _docs(spark, sf_dir).select("doc_id", F.explode(sentence_spans(F.col("text"))).alias("s"))
+    spans = _docs(spark, sf_dir).select("doc_id", F.explode(sentence_spans(T.normalized(F.col("text")))).alias("s"))
     return spans.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
@@ -177,9 +177,9 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM
 b AS (SELECT DISTINCT doc_id, substr(m, i, 40) AS w FROM (SELECT doc_id, {_MASKED} AS m FROM documents), unnest(range(1, length(m) - 38)) u(i))
 SELECT DISTINCT item_id AS label_id, doc_id AS text_id FROM a JOIN b USING (w)""",
     "boilerplate_mask": f"""WITH {_LINES}, c AS (SELECT doc_id, position, CASE
-  WHEN {_has('private securities litigation reform act')} OR ({_has('forward-looking statements')} AND {_has('risks', 'uncertainties', 'undue reliance', 'actual results')}) THEN 'safe_harbor'
-  WHEN {_has('non-gaap')} AND {_has('not a substitute', 'in isolation', 'not prepared in accordance', 'limitations', 'supplement')} THEN 'non_gaap_disclaimer'
-  WHEN {_has('trademark', 'all rights reserved', 'license', 'copyright')} OR ({_has('shall not be deemed')} AND {_has('filed')}) OR {_has('offer to sell', 'solicitation of an offer')} THEN 'repeated_legal' END AS category FROM lines)
+  WHEN {_has(*T.LITIGATION)} OR ({_has(T.FORWARD)} AND {_has(*T.FORWARD_WITH)}) THEN 'safe_harbor'
+  WHEN {_has(T.NON_GAAP)} AND {_has(*T.NON_GAAP_WITH)} THEN 'non_gaap_disclaimer'
+  WHEN {_has(*T.TRADEMARK)} OR ({_has(T.FILED)} AND {_has(T.FILED_WITH)}) OR {_has(*T.SOLICITATION)} THEN 'repeated_legal' END AS category FROM lines)
 SELECT doc_id, position, category FROM c WHERE category IS NOT NULL""",
     "line_repeats": f"WITH {_LINES} SELECT doc_id, trim(line) AS line, count(*) AS n FROM lines WHERE trim(line) <> '' AND len(regexp_split_to_array(trim(line), '\\s+')) <= 12 GROUP BY 1, 2 HAVING count(*) >= 3",
     "line_patterns": f"""WITH {_LINES}, c AS (SELECT trim(line) AS t FROM lines) SELECT CASE WHEN regexp_matches(t, '^[-_=*—]{{3,}}$') THEN 'rule' WHEN regexp_matches(t, '\\.{{4,}}\\s*\\S*$') THEN 'dot_leader'
@@ -189,8 +189,8 @@ SELECT doc_id, position, category FROM c WHERE category IS NOT NULL""",
     "stated_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ',1999-12-31' AS stated FROM orders",
     "stated_periods": """SELECT o_orderkey, CASE quarter(o_orderdate) WHEN 1 THEN 'Q1' WHEN 2 THEN 'Q2' WHEN 3 THEN 'Q3' ELSE 'FY,Q4' END AS stated,
   quarter(o_orderdate) = quarter(CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 3 MONTH ELSE o_orderdate END) AS matches FROM orders""",
-    "name_cover": """WITH t AS (SELECT p_partkey, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: x NOT IN ('inc','incorporated','corp','corporation','co','company','companies','ltd','limited','llc','lp','plc','sa','nv','ag','the','class','common','stock'))) AS k,
-  string_split(p_name, ' ')[1] AS f FROM part), w AS (SELECT DISTINCT list_distinct(list_filter(regexp_extract_all(lower(f), '[a-z0-9]+'), lambda x: x NOT IN ('inc','incorporated','corp','corporation','co','company','companies','ltd','limited','llc','lp','plc','sa','nv','ag','the','class','common','stock'))) AS k FROM t)
+    "name_cover": f"""WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS k, string_split(p_name, ' ')[1] AS f FROM part),
+w AS (SELECT DISTINCT list_sort(list_distinct(list_filter(regexp_extract_all(lower(f), '[a-z0-9]+'), lambda x: x NOT IN ({', '.join(f"'{x}'" for x in T.LEGAL_FORMS)})))) AS k FROM t)
 SELECT p_partkey, count(*) AS n_covered, string_agg(DISTINCT array_to_string(w.k, ' '), ',' ORDER BY array_to_string(w.k, ' ')) AS covered FROM t JOIN w ON len(w.k) > 0 AND list_has_all(t.k, w.k) GROUP BY 1""",
     "page_titles": "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<li>')) AS n_items, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages",
     "turn_layout": f"WITH {_TURNS} SELECT conv_id, turn, s AS start, e AS \"end\" FROM l",

@@ -14,33 +14,50 @@ from pyspark.sql import DataFrame
 from evidentia.functions.sentences import sentence_spans
 from evidentia.session import ship
 
-_META = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([a-zA-Z0-9_:.-]+)""", re.I)
-_BOMS = [(codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")]
-#: Labels that pages use for Windows-1252. (Fixed values.)
-_AS_1252 = {"iso-8859-1", "iso8859-1", "latin1", "l1", "ascii", "us-ascii", "cp1252", "x-cp1252", "windows-1252"}
+_META = re.compile(rb"""<meta[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9._:-]+)""", re.I)
+#: Byte order marks with their codec and the name that browsers report. (Fixed values.)
+_MARKS = {codecs.BOM_UTF8: ("utf-8", "UTF-8"), codecs.BOM_UTF16_LE: ("utf-16-le", "UTF-16LE"), codecs.BOM_UTF16_BE: ("utf-16-be", "UTF-16BE")}
+#: Labels that the WHATWG encoding standard gives to Windows-1252, and those that a meta element may give to UTF-8. (Fixed values.)
+_LABELS_1252 = "ansi_x3.4-1968 ascii cp1252 cp819 csisolatin1 ibm819 iso-8859-1 iso-ir-100 iso8859-1 iso88591 iso_8859-1 iso_8859-1:1987 l1 latin1 us-ascii windows-1252 x-cp1252".split()
+_LABELS_UTF8 = "unicode-1-1-utf-8 unicode11utf8 unicode20utf8 utf-8 utf8 x-unicode20utf8 utf-16 utf-16le utf-16be unicode ucs-2 csunicode iso-10646-ucs-2 unicodefeff unicodefffe".split()
+
+
+def _windows_1252(raw: bytes) -> str:
+    """As browsers decode it: the five bytes without a character are the control characters of their number."""
+    return "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") if 0x80 <= b < 0xA0 else chr(b) for b in raw) if any(0x80 <= b < 0xA0 for b in raw) else raw.decode("latin-1")
+
+
+def _declared(raw: bytes) -> tuple[str, str] | None:
+    """(text, encoding) by the meta element in the first 1024 bytes; None without one or for an unknown label."""
+    found = _META.search(raw[:1024])
+    label = found[1].decode("ascii").lower() if found else None
+    if label in _LABELS_1252:
+        return _windows_1252(raw), "windows-1252"
+    if label in _LABELS_UTF8:  # such a declaration was read as ASCII, so the bytes are no UTF-16
+        return raw.decode("utf-8", "replace"), "UTF-8"
+    try:
+        name = codecs.lookup(label).name if label else None
+    except LookupError:
+        return None
+    return (raw.decode(name, "replace"), name) if name else None
 
 
 def decode_html_bytes(raw: bytes) -> tuple[str, str, str]:
-    """(text, encoding, basis): a byte order mark, then a meta declaration in the first 1024 bytes, then valid UTF-8, then Windows-1252."""
-    for mark, name in _BOMS:
+    """(text, encoding, basis): a byte order mark, then a meta declaration, then valid UTF-8, then Windows-1252."""
+    for mark, (codec, name) in _MARKS.items():
         if raw.startswith(mark):
-            return raw[len(mark) :].decode(name, "replace"), name, "bom"
-    found = _META.search(raw[:1024])
-    if found:
-        label = found[1].decode("ascii").lower()
-        name = "windows-1252" if label in _AS_1252 else label
-        try:
-            codecs.lookup(name)
-            return raw.decode(name, "replace"), name, "meta"
-        except LookupError:
-            pass
+            return raw[len(mark) :].decode(codec, "replace"), name, "bom"
+    if (told := _declared(raw)) is not None:
+        return *told, "meta"
     try:
-        return raw.decode("utf-8"), "utf-8", "valid_utf8"
+        return raw.decode("utf-8"), "UTF-8", "valid-utf-8"
     except UnicodeDecodeError:
-        return raw.decode("windows-1252", "replace"), "windows-1252", "fallback"
+        return _windows_1252(raw), "windows-1252", "default"
 
 
-_SKIP = {"script", "style", "noscript", "template", "head"}
+_SKIP = {"script", "style", "noscript", "template", "title"}
+#: Elements that a head may hold; any other one ends it, with or without its end tag.
+_OF_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 _BLOCKS = {"p", "div", "section", "article", "header", "footer", "nav", "aside", "main", "blockquote", "pre", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "h1", "h2", "h3", "h4", "h5", "h6", "body", "html", "figure", "figcaption", "form", "center"}
 _PAGE = re.compile(r"^-?\s*[0-9]{1,4}\s*-?$")
 _YEAR = re.compile(r"^(?:19|20)[0-9]{2}$")
@@ -54,7 +71,7 @@ class _Walker(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[dict] = []
         self.text: list[str] = []
-        self.skip = 0
+        self.skip, self.head = 0, False
         self.lists = 0
         self.item = self.heading = None
         self.bold = 0
@@ -87,6 +104,11 @@ class _Walker(HTMLParser):
         self.bold_chars = 0
 
     def handle_starttag(self, tag, attrs):
+        if self.head and tag not in _OF_HEAD:
+            self.head, self.skip = False, 0
+        if tag == "head":
+            self.head = True
+            return
         if tag in _SKIP:
             self.skip += 1
             return
@@ -114,6 +136,9 @@ class _Walker(HTMLParser):
             self.tables[-1]["rows"][-1]["cells"].append({"text": "", "head": tag == "th", "col": _count(span.get("colspan")), "row": _count(span.get("rowspan"))})
 
     def handle_endtag(self, tag):
+        if tag == "head":
+            self.head, self.skip = False, 0
+            return
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
             return
@@ -139,7 +164,7 @@ class _Walker(HTMLParser):
                     self.blocks.append({"type": "table", "level": None, "text": "\n".join("\t".join(r) for r in rows), "header_rows": header_rows([[(c["text"], c["head"]) for c in r["cells"]] for r in table["rows"]])})
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.skip and not (self.head and data.isspace()):
             self.text.append(data)
             if self.bold:
                 self.bold_chars += len("".join(data.split()))

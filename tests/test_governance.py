@@ -76,7 +76,7 @@ def test_coding_problems(spark):
 
 def test_locators(spark):
     text = "one two three two one"
-    assert K.locate(text, 4, 7) == {"exact": "two", "prefix": "one ", "suffix": "", "reason": None}
+    assert K.locate(text, 4, 7) == {"exact": "two", "prefix": "one ", "suffix": " three", "reason": None}
     assert K.locate("a a", 0, 9)["reason"] == "out_of_bounds" and K.locate("aa b", 0, 1)["suffix"] == "a"
     row = spark.createDataFrame([(text,)], "t string").select(K.resolved_start(F.col("t"), F.lit("one "), F.lit("two"), F.lit("")).alias("at"), K.resolution(F.col("t"), F.lit(""), F.lit("two"), F.lit("")).alias("r"), K.token_hunks("t", F.lit("one 2 three two one")).alias("d")).first()
     assert row["at"] == 4 and row["r"] == "ambiguous_occurrence" and [(h["op"], h["left"], h["right"]) for h in row["d"]] == [("replace", "two", "2")]

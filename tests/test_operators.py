@@ -101,7 +101,7 @@ def test_text_rules(spark):
 def test_sentences():
     text = "Dr. A. Smith met Inc. staff. Next came B! 2 came."
     assert [text[a:b] for a, b in sentence_spans(text)] == ["Dr. A. Smith met Inc. staff.", "Next came B!", "2 came."]
-    assert sentence_spans("") == [] and sentence_spans("1. One. Two") == [(3, 7), (8, 11)]
+    assert sentence_spans("") == [] and sentence_spans("1. One. Two") == [(0, 7), (8, 11)]
 
 
 def test_statistics(spark):
