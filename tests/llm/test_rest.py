@@ -112,7 +112,9 @@ def test_held_out_labels_teach_nothing(spark):
     assert a.bias == b.bias and np.array_equal(a.weights, b.weights)
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
+    import evidentia.llm.topk as K
+
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8).round(1)], "l") for i in range(400)] + [(3, [1.0] * 8, "l"), (401, None, "l"), (402, [None] * 8, "l"), (None, [9.0] * 8, "l"), (403, [float("inf")] * 8, "l"), (404, [0.5] * 3, "l")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row string").repartition(3)
@@ -124,6 +126,12 @@ def test_top_k(spark):
             best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in good if i != q)[:4]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert got == sorted(want)
+    monkeypatch.setattr(K, "BLOCK", 8)
+    monkeypatch.setattr(K, "BUNDLE", 4)
+    monkeypatch.setattr(K, "BATCH", 2)
+    for told in (1 << 20, 0):
+        monkeypatch.setattr(K, "TOLD", told)
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(frame, k=4).collect()) == sorted(want)
     assert top_k(frame.where("1 = 0")).count() == 0 and top_k(frame.where("vec_id = 50")).count() == 0
 
 
@@ -141,6 +149,22 @@ def test_blocks_prune_and_stay_exact():
     assert big.search(9, np.array([2**20]), big.bounds(np.array([[2**20]]))[0], 2)[1].tolist() == [2**60, 5 * 2**20]
 
 
+def test_bundles_are_ruled_out_on_clustered_vectors():
+    """With clusters far apart, floors from the own cell leave only the bundles that hold the best, and all of these."""
+    from evidentia.llm.topk import reached
+
+    rng = np.random.default_rng(5)
+    centers = rng.integers(-200, 200, (40, 16))
+    bundles = centers[:, None] + rng.integers(-3, 4, (40, 50, 16))
+    queries = bundles[:, 0]
+    scores = np.einsum("qd,bnd->qbn", queries, bundles)
+    for n in range(40):
+        floor = np.sort(scores[n, n])[-5:][:1].astype(float)
+        hit = reached(queries[n : n + 1], floor, bundles.min(1), bundles.max(1))
+        assert hit[(scores[n] >= floor).any(1)].all() and hit.sum() <= 6
+        assert reached(queries[n : n + 1], np.array([-np.inf]), bundles.min(1), bundles.max(1)).all()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "<p>no</p>"; </script></head><body>
 <header><div>Site</div></header><nav><ul><li><a href=x>Menu, one.</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy, now.</div>
 %s<aside><p>Other, things.</p></aside><div class="cookie-notice">We use, cookies.</div><form><p>Search, here</p></form>
