@@ -21,8 +21,8 @@ from evidentia.llm.common import emit, ship, texts_of
 from evidentia.llm.tokens import token_file
 
 SPACE = "▁"
-#: Entries that each of a worker's caches holds before it is begun anew.
-CACHE = 500_000
+#: Entries that each of a worker's caches holds before it is begun anew, and characters of the longest part that it keeps.
+CACHE, KEPT = 500_000, 64
 #: Tested pairs that a worker remembers.
 PAIRS = 1_000_000
 
@@ -53,6 +53,7 @@ class PieceModel:
         self.score = {p.piece: p.score for p in model.pieces if p.type == _NORMAL}
         self.byte_ids = [0] * 256
         self.surface: list[bytes] = []
+        self.many = len(model.pieces)
         for i, p in enumerate(model.pieces):
             if p.type == _BYTE:
                 self.byte_ids[int(p.piece[1:-1], 16)] = i
@@ -109,7 +110,7 @@ class PieceModel:
                     last[done] = -1 - ord(text[done - 1])
             before = at - self.size[token]
             if before:
-                pair = last[before] * 65536 + token
+                pair = last[before] * self.many + token
                 fits = pairs.get(pair)
                 if fits is None:
                     if len(pairs) > PAIRS:
@@ -157,7 +158,9 @@ class PieceModel:
             if ids is None:
                 if len(self.known) > CACHE:
                     self.known.clear()
-                ids = self.known[unit] = self.unit_ids(unit)
+                ids = self.unit_ids(unit)
+                if len(unit) <= KEPT:
+                    self.known[unit] = ids
             out += ids
         return [*out, self.end] if add_end else out
 
@@ -195,7 +198,9 @@ class _Printed(dict):
 
     def __missing__(self, unit: str) -> tuple[str, int, bytes]:
         ids = self.model.unit_ids(unit)
-        found = self[unit] = (" ".join(map(str, ids)), len(ids), self.model.surfaces(ids))
+        found = " ".join(map(str, ids)), len(ids), self.model.surfaces(ids)
+        if len(unit) <= KEPT:
+            self[unit] = found
         return found
 
 

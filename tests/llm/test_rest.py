@@ -285,6 +285,101 @@ def test_sharding(spark, n):
         assert abs(np.corrcoef([r["row_number"] for r in rows], [r["slot"] * 7 + r["shard"] for r in rows])[0, 1]) < 0.15
 
 
+def test_sharding_against_a_plain_walk(spark):
+    """Each row's place by a plain Feistel network with cycle walking."""
+    import struct
+
+    import xxhash
+
+    from evidentia.llm.sharding import ROUNDS
+
+    def keyed(value, k, seed, modulus):
+        h = 42
+        for fmt, x in (("<q", value), ("<i", k), ("<q", seed)):
+            h = xxhash.xxh64_intdigest(struct.pack(fmt, x), h)
+        return (h - (1 << 64) if h >> 63 else h) % modulus
+
+    for n in (1, 5, 97, 400):
+        a = math.ceil(math.sqrt(n))
+        b = math.ceil(n / a)
+        docs = spark.range(n).selectExpr("id as doc_id", "cast(id as string) as text")
+        for r in shard_documents(docs, 7).collect():
+            place = r["row_number"]
+            while True:
+                left, right = place % a, place // a
+                for k in range(ROUNDS):
+                    if k % 2 == 0:
+                        left = (left + keyed(right, k, 17, a)) % a
+                    else:
+                        right = (right + keyed(left, k, 17, b)) % b
+                place = right * a + left
+                if place < n:
+                    break
+            assert r["slot"] * 7 + r["shard"] == place
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Every stage alone over nulls, empty and long texts, repeated rows, extra columns with clashing names, and no rows."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i % 977} v{i % 131}." for i in range(30_000))
+    rows = [(1, "A text. It is fine.", "x", 3, 9), (1, "A text. It is fine.", "x", 3, 9), (None, None, None, None, None), (2, "", "y", 0, 1), (3, long, "y", None, 2), (4, long + " end", "y", None, 2), (None, "alone here", None, 1, 1)]
+    schema = "doc_id long, text string, rid string, n_chars int, `key` int"
+    spark.createDataFrame([(1, 0, 0), (3, 1, 0), (4, 0, 0), (2, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            assert bool(got) == bool(docs.count())
+            if name != "packing":
+                assert out.columns == docs.columns
+            if name == "near_dedup" and got:
+                assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in got) == sorted([(1, 19), (0, 0), (2, 0), (3, len(long)), (0, 10)])
+            if name == "suffix_dedup" and got:
+                left = {r["doc_id"]: r["text"] for r in got}
+                assert len(got) == len(rows) and left[3] == long and left[4] == " end"
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """What the pipeline keeps and packs, against a plain run of its stages around the same model."""
+    import corpus_pipeline
+    from evidentia.llm.tokens import byte_bpe, token_file
+
+    rows = labelled(7, 260)
+    base = " ".join(f"common{i} passage" for i in range(14))
+    texts = [(i, t + (f" {base} {i}" if i % 9 == 0 else "")) for i, t, _ in rows] + [(1000 + i, rows[i][1]) for i in range(0, 40, 4)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    good = {r["doc_id"] for r in score_table(docs, labels).collect() if r["predicted"] == 0}
+    kept = dict(x for x in texts if x[0] in good)
+    sets = {i: set(zip(*[t.lower().split()[n:] for n in range(5)], strict=False)) or {tuple(t.lower().split())} for i, t in kept.items()}
+    parent = {i: i for i in kept}
+    for a in sorted(kept):
+        for b in sorted(kept):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = a, b
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                parent[max(x, y)] = min(x, y)
+    kept = {i: t for i, t in kept.items() if parent[i] == i}
+    seen, want, bpe = set(), {}, byte_bpe(token_file("byte_bpe_50k.json"))
+    for i in sorted(kept):
+        data = kept[i].encode()
+        gone = np.zeros(len(data), bool)
+        for p in range(len(data) - 99):
+            gone[p : p + 100] |= data[p : p + 100] in seen
+            seen.add(data[p : p + 100])
+        want[i] = len(bpe.library.encode(np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"), add_special_tokens=False).ids) + 1
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = {}
+    for r in packed:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == want and len(want) < len(texts) - 10
+
+
 def test_sharding_repeats_and_nulls(spark):
     docs = spark.createDataFrame([(1, "a")] * 50 + [(None, None)] * 3 + [(2, None)], "doc_id long, text string")
     rows = shard_documents(docs, 4).collect()

@@ -144,3 +144,12 @@ def test_piece_digests(spark, odd, pieces):
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)))
     back = {r["doc_id"]: r["text"] for r in decode_pieces(encode_pieces(odd)).collect()}
     assert back[8] == ODD[8] and back[1] == "" and piece_digests(odd.where("1 = 0")).count() == 0
+
+
+def test_caches_keep_short_parts_only():
+    from evidentia.llm.pieces import KEPT, piece_model
+
+    model = piece_model(token_file("piece_bpe_32k.model"))
+    long = "x" * (KEPT * 50)
+    model.digest(long), model.encode(long + " y")
+    assert all(len(u) <= KEPT for u in model.printed) and all(len(u) <= KEPT for u in model.known)
