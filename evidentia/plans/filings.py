@@ -54,18 +54,19 @@ def registrant_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def locator_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the tenth to fifteenth character of each document resolves with one character of context on each side."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 20)
-    p, x, s = (F.substring("text", *a) for a in ((9, 1), (10, 6), (16, 1)))
-    return d.select("doc_id", K.resolution(F.col("text"), p, x, s).alias("reason"), K.resolved_start(F.col("text"), p, x, s).cast("long").alias("start"))
+    """How six characters at each document's beginning and middle resolve with one character of context on each side."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(F.lit(0), F.floor(F.length("text") / 2).cast("int"))).alias("place"))
+    p, x, s = F.when(F.col("place") > 0, F.substring("text", F.col("place"), F.lit(1))).otherwise(""), F.substring("text", F.col("place") + 1, F.lit(6)), F.substring("text", F.col("place") + 7, F.lit(1))
+    return d.select("doc_id", "place", K.resolution(F.col("text"), p, x, s).alias("reason"), K.resolved_start(F.col("text"), p, x, s).cast("long").alias("start"))
 
 
 def minimal_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least context of each document's first five characters, and that it resolves."""
+    """The least context of five characters in each document's middle, and that it resolves; a text without any has its reason."""
     ship(spark)
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 20).withColumn("l", K.locators("text", F.lit(0), F.lit(5)))
+    d = table(spark, sf_dir, "documents").withColumn("at", F.coalesce(F.floor(F.length("text") / 2).cast("int"), F.lit(0)))
+    d = d.withColumn("l", K.locators("text", "at", F.least(F.col("at") + 5, F.coalesce(F.length("text"), F.lit(0)))))
     back = K.resolved_start(F.col("text"), F.col("l.prefix"), F.col("l.exact"), F.col("l.suffix"))
-    return d.select("doc_id", "l.prefix", "l.exact", "l.suffix", "l.reason", back.cast("long").alias("start"))
+    return d.select("doc_id", "at", "l.prefix", "l.exact", "l.suffix", "l.reason", F.when(F.col("l.exact").isNotNull(), back).cast("long").alias("start"))
 
 
 def extraction_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +117,8 @@ SELECT p_type AS type_id, count(*) AS n FROM l JOIN r ON list_has_all(l.k, r.k)
     "registrant_resolution": """SELECT s.s_suppkey AS security_id, CASE WHEN t.s_suppkey IS NOT NULL AND t.s_suppkey % 10 <> 3 AND t.s_suppkey = s.s_suppkey THEN t.s_suppkey END AS cik,
   CASE WHEN t.s_suppkey IS NULL THEN 'unknown_ticker' WHEN t.s_suppkey % 10 <> 3 AND t.s_suppkey = s.s_suppkey THEN NULL ELSE 'unconfirmed' END AS reason
 FROM supplier s LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 90 <> 7) t ON t.s_suppkey = s.s_suppkey % 90""",
-    "locator_resolution": """WITH x AS (SELECT doc_id, text, substr(text, 9, 8) AS w FROM documents WHERE length(text) >= 20), n AS (SELECT doc_id, text, w, len(list_filter(range(0, length(text) - 7), lambda i: substr(text, i + 1, 8) = w)) AS k FROM x)
-SELECT doc_id, CASE WHEN k > 1 THEN 'ambiguous_occurrence' END AS reason, CASE WHEN k = 1 THEN instr(text, w) END AS start FROM n""",
+    "locator_resolution": """WITH q AS (SELECT doc_id, text, unnest([0, CAST(floor(length(text) / 2) AS INTEGER)]) AS place FROM documents),
+x AS (SELECT *, CASE WHEN place > 0 THEN substr(text, place, 1) ELSE '' END || substr(text, place + 1, 7) AS w FROM q), n AS (SELECT *, len(list_filter(range(0, length(text) - length(w) + 1), lambda i: substr(text, i + 1, length(w)) = w)) AS k FROM x)
+SELECT doc_id, place, CASE WHEN text IS NULL OR substr(text, place + 1, 6) = '' THEN 'malformed_record' WHEN k > 1 THEN 'ambiguous_occurrence' WHEN k = 0 THEN 'not_found' END AS reason,
+  CASE WHEN substr(text, place + 1, 6) <> '' AND k = 1 THEN instr(text, w) - 1 + CASE WHEN place > 0 THEN 1 ELSE 0 END END AS start FROM n""",
 }

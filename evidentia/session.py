@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import zipfile
@@ -79,9 +78,3 @@ def deleted(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Ask the driver to look for shuffle files that nothing uses any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
