@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from evidentia.functions.text import boilerplate, heading_boilerplate
 from evidentia.session import cut, ship
 
-#: Rows of two longs that a side may have to be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows of two longs that a side may have to be broadcast, and characters of labels that every task may be told.
+BROADCAST_ROWS, TOLD_CHARS = 1_000_000, 2_000_000
 
 
 def laid_out(blocks: DataFrame, doc: str, position: str, text: str = "text", separator: int = 1) -> DataFrame:
@@ -127,14 +132,84 @@ def copy_groups(docs: DataFrame, asserted: DataFrame, fingerprints: DataFrame) -
     return found.join(kinds, "component").select("doc_id", F.col("component").alias("representative_doc_id"), status.alias("status"))
 
 
+class _Windows:
+    """All windows of the labels, with a table of their rolling hashes that leaves most places of a text unlooked at."""
+
+    BASE, PIECE, BITS = 0x9E3779B97F4A7C15, 1 << 16, 22
+
+    def __init__(self, labels: list[tuple], width: int):
+        self.width, self.ids = width, {}
+        for name, text in labels:
+            for at in range(len(text) - width + 1):
+                self.ids.setdefault(text[at : at + width], set()).add(name)
+        back = pow(self.BASE, -1, 1 << 64)
+        ones = [np.full(self.PIECE + width, x, np.uint64) for x in (self.BASE, back)]
+        for x in ones:
+            x[0] = 1
+        self.powers, self.inverse = map(np.cumprod, ones)
+        self.table = np.zeros(1 << self.BITS, bool)
+        for name, text in labels:
+            for _, places in self.places(text):
+                self.table[places] = True
+
+    def places(self, text: str) -> Iterator[tuple[int, np.ndarray]]:
+        """(offset, places in the table of the windows from there on) of a text, some thousands of windows at a time."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        for at in range(0, len(codes) - self.width + 1, self.PIECE):
+            part = codes[at : at + self.PIECE + self.width - 1].astype(np.uint64) + np.uint64(1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * self.powers[: len(part)])])
+            n = len(part) - self.width + 1
+            yield at, (((sums[self.width :] - sums[:n]) * self.inverse[:n]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.BITS)
+
+    def hits(self, text: str) -> set:
+        """The labels that share a window with the text."""
+        found: set = set()
+        for offset, places in self.places(text):
+            for at in np.flatnonzero(self.table[places]).tolist():
+                found |= self.ids.get(text[offset + at : offset + at + self.width], frozenset())
+        return found
+
+
+_windows_held: dict[str, _Windows] = {}
+
+
+def _hits_in_one_pass(labels: list[tuple], labels_type: DataType, texts: DataFrame, width: int, schema: str) -> DataFrame:
+    """(label_id, text_id) pairs by one pass over the texts, the labels held by every worker."""
+    spark, name = texts.sparkSession, uuid.uuid4().hex
+    ship(spark)
+    told = spark.sparkContext.broadcast(labels)
+    kind = to_arrow_type(labels_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _windows_held:
+            _windows_held.clear()
+            _windows_held[name] = _Windows(told.value, width)
+        held = _windows_held[name]
+        for batch in batches:
+            pairs = [(label, text_id) for text_id, text in zip(batch.column("text_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for label in held.hits(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], batch.column("text_id").type)], names=["label_id", "text_id"])
+
+    found = texts.select("text_id", "text").mapInArrow(run, schema)
+    return found.distinct()  # a text may come in several rows
+
+
 def shingle_hits(labels: DataFrame, texts: DataFrame, width: int = 40) -> DataFrame:
-    """(label_id, text_id) pairs that share a run of `width` characters.
+    """(label_id, text_id) pairs that share a run of `width` characters, full dates masked.
 
-    Windows meet by their 64-bit hashes, made distinct within a text before the shuffle, and the
-    pairs that meet are confirmed on the windows themselves. The labels are the small side.
+    Labels of up to TOLD_CHARS characters in all are told to every worker, and one pass over the
+    texts looks up the windows that a rolling hash does not rule out. With more labels, windows
+    meet by their 64-bit hashes, made distinct within a text before the shuffle, and the pairs that
+    meet are confirmed on the windows themselves. Rows without a text share nothing.
     """
     from evidentia.functions.text import char_windows, dates_masked
 
+    size = labels.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
+    if size <= TOLD_CHARS:
+        mask = dates_masked(F.col("text")).alias("text")
+        told = [tuple(r) for r in labels.where("text is not null").select("label_id", mask).collect()]
+        kinds = f"label_id {labels.schema['label_id'].dataType.simpleString()}, text_id {texts.schema['text_id'].dataType.simpleString()}"
+        return _hits_in_one_pass(told, labels.schema["label_id"].dataType, texts.select("text_id", mask), width, kinds)
+
     def windows(rows: DataFrame, name: str) -> DataFrame:
         found = F.array_distinct(F.transform(char_windows(dates_masked(F.col("text")), width), lambda w: F.xxhash64(w)))
         return rows.select(name, F.explode(found).alias("h"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import date, datetime
 
 import pytest
@@ -234,3 +235,23 @@ def test_streams(spark, tmp_path):
         again = spark.readStream.schema("document_id string, sequence long, to_state string, override_id string").parquet(src)
         G.append_new(again, out, ["document_id", "sequence"], str(tmp_path / f"c{n}")).awaitTermination(60)
     assert spark.read.parquet(out).count() == 4
+
+
+def test_shingle_hits_both_ways(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé𝄞") for _ in range(rng.randint(1, 5)))
+    label = [(f"l{i}", " ".join(word() for _ in range(30)) + (" On March 3, 2020 it was so and so." if i == 1 else "")) for i in range(6)] + [("none", None), ("short", "x")]
+    texts = [(i, " ".join(word() for _ in range(20)) + (label[i % 6][1][i : i + 36 + i % 9] if i % 2 else "") + " ".join(word() for _ in range(20))) for i in range(60)]
+    texts += [(60, None), (61, ""), (62, "was. On July 14, 1999 it was so and so. But"), (63, "x" * 70_000 + label[2][1] + "y"), (64, label[3][1]), (64, label[3][1])]
+    a, b = spark.createDataFrame(label, "label_id string, text string"), spark.createDataFrame(texts, "text_id long, text string").repartition(3)
+
+    def windows(text):
+        masked = re.sub(r"\b(?:March|July) [0-9]+, [0-9]{4}\b", "\0", text or "")
+        return {masked[i : i + 40] for i in range(len(masked) - 39)}
+
+    want = sorted({(n, i) for n, x in label for i, y in texts if windows(x) & windows(y)}, key=repr)
+    assert values(L.shingle_hits(a, b), "label_id", "text_id") == want and len(want) > 8
+    monkeypatch.setattr(L, "TOLD_CHARS", 0)
+    assert values(L.shingle_hits(a, b), "label_id", "text_id") == want
