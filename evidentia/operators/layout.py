@@ -220,7 +220,7 @@ def shingle_hits(labels: DataFrame, texts: DataFrame, width: int = 40) -> DataFr
     pairs = a.join(b, "h").select("label_id", "text_id").distinct()
     named = pairs.join(labels.select("label_id", F.col("text").alias("__l")), "label_id").join(texts.select("text_id", F.col("text").alias("__t")), "text_id")
     shared = F.arrays_overlap(char_windows(dates_masked(F.col("__l")), width), char_windows(dates_masked(F.col("__t")), width))
-    return named.where(shared).select("label_id", "text_id")
+    return named.where(shared).select("label_id", "text_id").distinct()
 
 
 def aligned(left: DataFrame, right: DataFrame, doc: str = "doc_id", position: str = "position", text: str = "text") -> DataFrame:
