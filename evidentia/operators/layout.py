@@ -13,7 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from evidentia.functions.text import boilerplate, heading_boilerplate
-from evidentia.session import cut, ship
+from evidentia.operators.components import components
+from evidentia.session import ship
 
 #: Rows of two longs that a side may have to be broadcast, and characters of labels that every task may be told.
 BROADCAST_ROWS, TOLD_CHARS = 1_000_000, 2_000_000
@@ -100,18 +101,11 @@ def exact_groups(docs: DataFrame, keys: list[Column], doc: str = "doc_id") -> Da
 
 
 def connected(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", node: str = "doc_id") -> DataFrame:
-    """Each node with the smallest node that it reaches, by least-label steps with pointer jumping; every step is checkpointed."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(nodes.select(F.col(node).alias("u"), F.col(node).alias("label")).distinct())
-    while True:
-        offered = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("offer"))
-        stepped = labels.join(offered, "u", "left").select("u", F.least("label", F.coalesce("offer", "label")).alias("next"), "label")
-        jumped = stepped.join(stepped.select(F.col("u").alias("next"), F.col("next").alias("further")), "next", "left").select("u", F.least("next", F.coalesce("further", "next")).alias("label"), F.col("label").alias("was"))
-        jumped = cut(jumped)
-        labels = jumped.select("u", "label")
-        if not jumped.where("label <> was").limit(1).count():
-            return labels.select(F.col("u").alias(node), F.col("label").alias("component"))
+    """Each node with the smallest node that it reaches; edges that name another node are left out."""
+    own = nodes.select(node).distinct()
+    known = edges.join(own.select(F.col(node).alias(a)), a, "left_semi").join(own.select(F.col(node).alias(b)), b, "left_semi")
+    found = components(known, a, b).select(F.col("node").alias(node), "component")
+    return own.join(found, node, "left").select(node, F.coalesce("component", node).alias("component"))
 
 
 def copy_groups(docs: DataFrame, asserted: DataFrame, fingerprints: DataFrame) -> DataFrame:
