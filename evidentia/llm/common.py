@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame
 
-from evidentia.session import checkpointing, cut, deleted, ship, shuffles_dropped, table  # noqa: F401  (used by the operators)
+from evidentia.session import bucketed, forget, forget_but, ship, table, tables, written  # noqa: F401  (used by the operators)
 
 #: Multiplier of the polynomial hashes; odd, so that it is a unit modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -77,14 +76,6 @@ def emit(schema: pa.Schema, columns: Iterable, size: int = 50_000) -> Iterator[p
         yield whole.slice(at, size)
 
 
-def keyed_documents(docs: DataFrame, *columns: str) -> DataFrame:
-    """doc_id and the named columns, with a row number `rid` that tells repeated ids apart.
-
-    The number comes from the input splits, so it is the same in every use within a plan.
-    """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, F.monotonically_increasing_id().alias("rid"))
-
-
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole runs of equal integer keys, and where their runs start, from batches that are sorted by the keys.
 
@@ -120,47 +111,3 @@ def sorted_runs(rows: DataFrame, keys: list[str], function, schema: str, order:
     """The function over each partition's batches, with all rows of a key in one partition and sorted by the keys and the order."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(function, schema)
-
-
-#: Folders of the tables that written() made and nothing has removed yet.
-_TABLES: list[str] = []
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows as a table in the shared folder, which cuts the lineage; columns are compressed, unlike a checkpoint's rows."""
-    spark = df.sparkSession
-    path = f"{checkpointing(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    _TABLES.append(path)
-    with shuffles_dropped(spark):
-        df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """The same rows as a table that is dealt by the key, so that joins with it shuffle the other side alone."""
-    spark = df.sparkSession
-    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
-    path = f"{checkpointing(spark).rstrip('/')}/tables/{name}"
-    _TABLES.append(path)
-    with shuffles_dropped(spark):
-        df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).saveAsTable(f"evidentia_{name}", format="parquet")
-    return spark.table(f"evidentia_{name}")
-
-
-def tables() -> set[str]:
-    """The folders of all tables that are still there."""
-    return set(_TABLES)
-
-
-def forget(spark: SparkSession, paths: set[str]) -> None:
-    """Remove tables whose rows are in another one by now."""
-    for path in sorted(paths):
-        spark.sql(f"DROP TABLE IF EXISTS evidentia_{path.rsplit('/', 1)[1]}")
-    deleted(spark, sorted(paths))
-    _TABLES[:] = [t for t in _TABLES if t not in paths]
-
-
-def forget_but(spark: SparkSession, before: set[str], *kept: DataFrame) -> None:
-    """Remove the tables that were written since `before`, but for those that the kept frames read."""
-    used = "\n".join(f for df in kept for f in df.inputFiles())
-    forget(spark, {t for t in tables() - before if t.rsplit("/", 1)[1] not in used})

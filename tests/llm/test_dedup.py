@@ -11,10 +11,10 @@ import pyarrow as pa
 import pytest
 
 from evidentia.llm import suffix_dedup as X
-from evidentia.llm.components import components
 from evidentia.llm.embed_dedup import linked_pairs, near_vectors
 from evidentia.llm.minhash import connected, near_documents, shingles, signature, without_near_copies
 from evidentia.llm.suffix_dedup import SuffixFamily, repeated_spans, without_repeats
+from evidentia.operators.components import components
 
 
 def joined(pairs, nodes):
@@ -179,7 +179,7 @@ def test_cells_of_long_lists(spark, monkeypatch):
 
 
 def test_hubs(spark, monkeypatch):
-    import evidentia.llm.components as C
+    import evidentia.operators.components as C
 
     monkeypatch.setattr(C, "HUB", 5)
     pairs = [(0, i) for i in range(3, 90)] + [(i, 200) for i in range(80, 120)] + [(500, i) for i in range(501, 540)] + [(2, None), (700, 701)]
