@@ -176,7 +176,7 @@ def test_json_sources(spark):
 
 def test_pages():
     assert W.decode_html_bytes(b"\xef\xbb\xbfx")[1:] == ("UTF-8", "bom") and W.decode_html_bytes(b'<meta charset="latin1">\x93')[0][-1] == "“"
-    assert W.decode_html_bytes(b"\xff")[2] == "fallback"
+    assert W.decode_html_bytes(b"\xff")[2] == "default"
     blocks = W.walk("<h2>Head</h2><p>Text <b>bold</b>.</p><ul><li>one</ul><p>12</p><p>2024</p><table><tr><th>a<th>2020<tr><td>b<td>(5)</table><script>x</script>")
     assert [(b["type"], b["text"]) for b in blocks] == [("heading", "Head"), ("paragraph", "Text bold."), ("list_item", "one"), ("page_artifact", "12"), ("paragraph", "2024"), ("table", "a\t2020\nb\t(5)")]
     assert blocks[-1]["header_rows"] == 1 and W.occupancy([[(1, 2), (1, 1)], [(1, 1)]]) == [[(0, 0), (0, 1)], [(1, 1)]]
